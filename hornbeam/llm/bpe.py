@@ -27,6 +27,9 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 #: A blank between two non-blanks always begins a new word, so texts may be cut there.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
+#: Above every rank.
+NEVER = 1 << 62
+
 
 def byte_symbols() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -40,7 +43,7 @@ def byte_symbols() -> dict[str, int]:
 class Bpe:
     """Encoder and decoder of one vocabulary file; remembers words up to ``most``."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = byte_symbols()
@@ -58,7 +61,7 @@ class Bpe:
         self.merge = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merge.setdefault(vocab[a] * self.size + vocab[b], (rank, vocab[a + b]))
+            self.merge.setdefault(vocab[a] * self.size + vocab[b], rank * self.size + vocab[a + b])
         self.ids = {self.token[i]: i for i in vocab.values() if self.merged(self.token[i]) == [i]}
         lengths: dict[bytes, set[int]] = {}
         for t in self.ids:
@@ -69,8 +72,8 @@ class Bpe:
                     lengths[two].add(1)
         self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
         self.most = most
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         self.judged = np.empty(0, np.int64)  # pairs seen, sorted; and whether they are compatible
         self.verdict = np.empty(0, bool)
 
@@ -78,23 +81,23 @@ class Bpe:
         """The merge rules applied exactly, lowest rank first and leftmost among equals."""
         ids, n, get, size = [self.byte_id[b] for b in word], len(word), self.merge.get, self.size
         if n < 48:
-            while len(ids) > 1:
-                best, at = None, -1
-                for k in range(len(ids) - 1):
-                    m = get(ids[k] * size + ids[k + 1])
-                    if m and (best is None or m[0] < best[0]):
-                        best, at = m, k
-                if best is None:
-                    break
-                ids[at : at + 2] = [best[1]]
+            ranks = [get(a * size + b, NEVER) for a, b in zip(ids, ids[1:])]
+            while ranks and (best := min(ranks)) != NEVER:
+                at, new = ranks.index(best), best % size
+                ids[at : at + 2] = [new]
+                del ranks[at]
+                if at:
+                    ranks[at - 1] = get(ids[at - 1] * size + new, NEVER)
+                if at < len(ranks):
+                    ranks[at] = get(new * size + ids[at + 1], NEVER)
             return ids
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = []
 
         def offer(a: int) -> None:
             b = after[a]
-            if b < n and (m := get(ids[a] * size + ids[b])):
-                heapq.heappush(heap, (m[0], a, ids[a], ids[b], m[1]))
+            if b < n and (m := get(ids[a] * size + ids[b], NEVER)) != NEVER:
+                heapq.heappush(heap, (m // size, a, ids[a], ids[b], m % size))
 
         for k in range(n - 1):
             offer(k)
@@ -154,25 +157,25 @@ class Bpe:
         ok = self.compatible(flat[inside] * self.size + flat[inside + 1])
         for k in np.unique(owner[inside[~ok]]).tolist():
             tokens[k] = self.merged(raw[k])
-        self.words.update(zip(words, map(tuple, tokens)))
+        self.words.update((w, np.array(ts, np.int32).tobytes()) for w, ts in zip(words, tokens))
 
     def learn_chunks(self, chunks: set[str]) -> None:
         if len(self.words) > 2 * self.most:
             self.words.clear()
         split = {c: PIECES.findall(c) for c in chunks}
-        new = {w for ws in split.values() for w in ws} - self.words.keys()
+        new = {w for ws in split.values() for w in ws if w not in self.words}
         if new:
             self.learn(list(new))
         for c, ws in split.items():
-            self.chunks[c] = self.words[ws[0]] if len(ws) == 1 else tuple(t for w in ws for t in self.words[w])
+            self.chunks[c] = b"".join([self.words[w] for w in ws])
 
-    def cut(self, text: str) -> list[str | int]:
-        """Chunks that the pre-tokeniser never joins, and the ids of special tokens between them."""
-        out: list[str | int] = []
+    def cut(self, text: str) -> list[str]:
+        """Chunks that the pre-tokeniser never joins, and the special tokens between them."""
+        out: list[str] = []
         at = 0
         for m in self.split_added.finditer(text) if self.split_added else ():
             out += self.cut_plain(text[at : m.start()])
-            out.append(self.added[m.group()])
+            out.append(m.group())
             at = m.end()
         return out + self.cut_plain(text[at:] if at else text)
 
@@ -184,22 +187,13 @@ class Bpe:
         return [first, *[" " + c for c in rest]]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.chunks) > self.most:
-            self.chunks.clear()
+        if len(self.chunks) > self.most or not self.chunks:
+            self.chunks = {t: np.int32(i).tobytes() for t, i in self.added.items()}
         split = [self.cut(t) if t else [] for t in texts]
-        new = {c for cs in split for c in cs if c.__class__ is str and c not in self.chunks}
-        if new:
+        if new := {c for c in set().union(*split) if c not in self.chunks}:
             self.learn_chunks(new)
-        get, out = self.chunks.__getitem__, []
-        for cs in split:
-            flat: list[int] = []
-            for c in cs:
-                if c.__class__ is str:
-                    flat.extend(get(c))
-                else:
-                    flat.append(c)
-            out.append(np.array(flat, np.int32))
-        return out
+        get = self.chunks.__getitem__
+        return [np.frombuffer(b"".join(map(get, cs)), np.int32) for cs in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """Special tokens are kept; bytes that are no UTF-8 become replacement characters."""
