@@ -15,70 +15,113 @@ per task and length, so no length, however common, meets in one task.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import identified, materialise, rows_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-_ranked = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
+
+
+#: Letters (lower case) and digits below U+0180, and the pre-tokeniser's units in such texts (fixed values).
+_LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+UNIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\x09-\x0d\x20\x85\xa0{_LETTERS}{_DIGITS}]+")
 
 
 class WordIds:
     """Token ids of blank-separated chunks by the tokenizers library, remembered up to a bound.
 
-    The vocabulary drops white space, so a text's ids are those of its chunks in turn.
+    The vocabulary drops white space, so a text's ids are those of its chunks in turn. Texts whose
+    characters have one-to-one lower case and no combining forms are lower-cased and split into the
+    pre-tokeniser's units here; a tokenizer without those two steps then encodes each unit once.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        from tokenizers import Tokenizer
+    odd = re.compile("[\u0130\u0180-\U0010ffff]")
+
+    def __init__(self, path: str, most: int = 400_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.tokenizer, self.bare):
+            t.no_truncation()
+            t.no_padding()
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self.specials[-1]
         self.mark_id = self.tokenizer.token_to_id(self.mark)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.most = most
         self.known: dict[bytes, bytes] = {}
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Encode many chunks in one call; a special token between them shows where each ends."""
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        odd = [any(s in t for s in self.specials) for t in texts]
-        easy = [(c, t) for c, t, o in zip(chunks, texts, odd) if not o]
+    def keep(self, chunks: list[bytes], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        raw = ids.tobytes()
+        for c, b, e in zip(chunks, begins.tolist(), ends.tolist()):
+            self.known[c] = raw[4 * b : 4 * e]
+
+    def learn_units(self, units: list[bytes]) -> None:
+        """Units of the pre-tokeniser, already in lower case: each gives one token with a word end, its last."""
+        for at in range(0, len(units), 1024):
+            part = units[at : at + 1024]
+            ids = np.array(self.bare.encode(b" ".join(part).decode(), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            self.keep(part, ids, np.append(0, ends[:-1]), ends)
+
+    def learn_lowered(self, chunks: list[bytes]) -> None:
+        """Chunks of lowered texts: their units are encoded once, however they are combined."""
+        units, joined = {c for c in chunks if c.isalpha()}, {}
+        for c in chunks:
+            if c not in units:
+                joined[c] = us = [u.encode() for u in UNIT.findall(c.decode())]
+                units.update(us)
+        self.learn_units([u for u in units if u not in self.known])
+        for c, us in joined.items():
+            self.known[c] = b"".join([self.known[u] for u in us])
+
+    def learn_chunks(self, chunks: list[str]) -> None:
+        """Any other chunks; a special token between them shows where each ends."""
+        easy = [c for c in chunks if not any(s in c for s in self.specials)]
         for at in range(0, len(easy), 512):
             part = easy[at : at + 512]
-            ids = self.plain(self.mark.join(t for _, t in part))
+            ids = self.plain(self.mark.join(part))
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            begin = 0
-            for (c, _), end in zip(part, ends):
-                self.known[c] = ids[begin:end].tobytes()
-                begin = end + 1
-        for c, t, o in zip(chunks, texts, odd):
-            if o:
-                self.known[c] = self.plain(t).tobytes()
+            self.keep([c.encode() for c in part], ids, np.append(0, ends[:-1] + 1), ends)
+        for c in set(chunks).difference(easy):
+            self.known[c.encode()] = self.plain(c).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
+        easy = [bool(t) and not self.odd.search(t) and not any(s in t for s in self.specials) for t in texts]
+        split = [(t.lower() if e else t).encode("utf-8", "replace").split() if t else [] for t, e in zip(texts, easy)]
         if len(self.known) > self.most:
             self.known.clear()
-        new = list(set().union(*split) - self.known.keys()) if split else []
-        if new:
-            self.learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        find = self.known.get
+        parts = [list(map(find, chunks)) for chunks in split]
+        new: tuple[set[bytes], set[bytes]] = (set(), set())
+        for chunks, ids, e in zip(split, parts, easy):
+            if None in ids:
+                new[e].update(c for c, i in zip(chunks, ids) if i is None)
+        self.learn_lowered(list(new[True]))
+        self.learn_chunks([c.decode() for c in new[False] if c not in self.known])
+        return [b"".join([i if i is not None else self.known[c] for c, i in zip(chunks, ids)] if None in ids else ids) for chunks, ids in zip(split, parts)]
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One per Python worker: what it has learnt serves the worker's later tasks too."""
+    return WordIds(path)
 
 
 def tokenised(docs: DataFrame, vocab: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -101,12 +144,6 @@ def tokenised(docs: DataFrame, vocab: str, capacity: int = 4096, end_id: int = 1
     return identified(docs).select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-@lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    """One per Python worker: what it has learnt serves the worker's later tasks too."""
-    return WordIds(path)
-
-
 class Plan:
     """For each length: ranges of ranks and the sequences and offsets they go to."""
 
@@ -231,27 +268,16 @@ def plan_packing(counts: dict[int, int], capacity: int = 4096) -> Plan:
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """Give every piece (doc_id, piece, start, length, ids_crc32) its sequence_id and offset.
 
-    The pieces are written once with a running count per task and length; the plan is made
-    of the counts of lengths, and every piece looks its place up.
+    The pieces are written once, with the task that wrote each and its place there. The plan is made
+    of the counts of lengths; every piece looks its place up by its rank among those of its length.
     """
-
-    def count(batches):
-        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            length = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.argsort(length, kind="stable")
-            nth = np.empty(len(length), np.int64)
-            kinds, begin, many = np.unique(length[order], return_index=True, return_counts=True)
-            nth[order] = np.arange(len(length)) - np.repeat(begin, many) + np.repeat(seen[kinds], many)
-            seen[kinds] += many
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), task, np.int32)), pa.array(nth)], [*batch.schema.names, "task", "nth"])
-
     spark = pieces.sparkSession
-    kept = materialise(pieces.select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(count, _ranked), "pieces")
+    own = (F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at"))
+    kept = materialise(pieces.select("doc_id", "piece", "start", "length", "ids_crc32", *own), "pieces")
     per_task = kept.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     first = per_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    histogram = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     segments = spark.sparkContext.broadcast(plan_packing(histogram, capacity).arrays())
 
     def place(batches):
@@ -265,8 +291,10 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
                 seq[rows], off[rows] = s[at, 2] + rank[rows] - s[at, 0], s[at, 3]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(off)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = kept.join(first, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("first")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    nth = F.row_number().over(Window.partitionBy("task", "length").orderBy("at")) - 1  # among a task's pieces of a length
+    ranked = kept.withColumn("nth", nth).join(first, ["task", "length"])
+    slim = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("first")).alias("rank"))
+    return slim.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocab: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
