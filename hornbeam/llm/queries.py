@@ -16,6 +16,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    out = classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("quality.label").alias("label"), F.col("quality.score").alias("score"), F.col("quality.kept").alias("kept"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import base_digest, scan
 
@@ -59,8 +66,15 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import deduplicate_lines
+
+    out = deduplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secrets": op2_secrets, "op3_language": op3_language, "op4_bpe": op4_bpe, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_neighbours": op9_neighbours}
+    return {"op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_language": op3_language, "op4_bpe": op4_bpe, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_neighbours": op9_neighbours, "op10_lines": op10_lines}
 
 
 def oracle_sql() -> dict[str, str]:
