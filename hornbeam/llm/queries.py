@@ -48,6 +48,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=5, percent=80)
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rules import quality_rules
 
@@ -74,7 +80,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_language": op3_language, "op4_bpe": op4_bpe, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_neighbours": op9_neighbours, "op10_lines": op10_lines}
+    return {"op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_language": op3_language, "op4_bpe": op4_bpe, "op6_jaccard": op6_jaccard, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_neighbours": op9_neighbours, "op10_lines": op10_lines}
 
 
 def oracle_sql() -> dict[str, str]:
