@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, forget, identified, materialise, rows_of, split_words, windows
 from .graph import components
+from .membership import maybe_among
 
 SKETCH_BITS, _PART = 20, 1 << 12
 DEPTH = 3
@@ -114,34 +115,9 @@ def overlap_reaches(a: np.ndarray, b: np.ndarray, need: int, depth: int = 3) ->
     return len(np.intersect1d(a, b, assume_unique=True)) >= need
 
 
-def narrowed(docs: DataFrame, ids: DataFrame, bits: int = 23) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is among ``ids``; a filter of a fixed 1 MB drops most others before the shuffle."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
-
-    def mark(batches):
-        seen = np.zeros(1 << bits, bool)
-        for pdf in batches:
-            seen[pdf["slot"].to_numpy()] = True
-        packed = np.packbits(seen)
-        for part in range(len(packed) // 65536):
-            if (own := packed[part * 65536 : (part + 1) * 65536]).any():
-                yield pd.DataFrame({"part": [part], "marks": [own.tobytes()]})
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "marks": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["marks"]]).tobytes()]})
-
-    kind = "part int, marks binary"
-    marks = np.zeros((1 << bits) // 8, np.uint8)
-    for r in ids.select(slot.alias("slot")).mapInPandas(mark, kind).groupBy("part").applyInPandas(join, kind).collect():
-        marks[r["part"] * 65536 : (r["part"] + 1) * 65536] = np.frombuffer(bytes(r["marks"]), np.uint8)
-    known = docs.sparkSession.sparkContext.broadcast(marks)
-
-    @F.pandas_udf("boolean")
-    def may(slots: pd.Series) -> pd.Series:
-        at = slots.to_numpy()
-        return pd.Series((known.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
-
-    return docs.where(may(slot)).join(ids, "doc_id", "left_semi")
+def narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is among ``ids``; most others are dropped before the shuffle."""
+    return docs.where(maybe_among(ids.select("doc_id"))(F.col("doc_id"))).join(ids, "doc_id", "left_semi")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:

@@ -48,6 +48,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import deduplicate
+
+    out = deduplicate(table(spark, sf_dir, "documents"), size=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import near_duplicates
 
@@ -80,7 +87,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_language": op3_language, "op4_bpe": op4_bpe, "op6_jaccard": op6_jaccard, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_neighbours": op9_neighbours, "op10_lines": op10_lines}
+    return {"op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_language": op3_language, "op4_bpe": op4_bpe, "op5_substrings": op5_substrings, "op6_jaccard": op6_jaccard, "op7_rules": op7_rules, "op8_packing": op8_packing, "op9_neighbours": op9_neighbours, "op10_lines": op10_lines}
 
 
 def oracle_sql() -> dict[str, str]:
