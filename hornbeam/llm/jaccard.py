@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that are not the smallest of their component; of repeated rows one stays."""
+    """``docs`` without the documents that are not the smallest of their component; of rows with equal id and text one stays."""
     found = near_duplicates(docs, size, percent, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").dropDuplicates([id_col])
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    return kept.withColumn("__text", F.xxhash64(f"`{text_col}`")).dropDuplicates([id_col, "__text"]).drop("__text")
