@@ -255,7 +255,7 @@ class Engine:
             if not rules:
                 continue
             seeds = {s: [table_of(s)] for s in own if s in self._base and s in derived}
-            iterations += Rounds(db, self.max_iterations, commit).run(rules, own, seeds)
+            iterations += Rounds(db, self.max_iterations, commit).run(rules, own & derived, seeds)
         return db, dict(rounds), iterations
 
     def predicates(self) -> list[Signature]:

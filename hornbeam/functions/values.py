@@ -90,6 +90,13 @@ def cell(value: Any, type_: str) -> Any:
     return float(value) if type_ in ("rat", "num") else value
 
 
+def as_text(mixed: Column) -> Column:
+    """A mixed column as text, whole numbers without a point."""
+    n = mixed["n"]
+    number = F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("string"))
+    return F.when(mixed["k"] == 1, mixed["s"]).otherwise(number)
+
+
 def _numeric(t: str) -> bool:
     return t in _LADDER
 
@@ -153,7 +160,7 @@ def arithmetic(op: str, a: Value, b: Value) -> Value:
 
 def exact_quotient(a: Value, by: int) -> Value:
     """a / by for an integer column known to be a multiple of ``by``."""
-    return Value(((a.col - (a.col % by)) / F.lit(by)).cast("bigint") if by == 0 else F.call_function("div", a.col, F.lit(by).cast("bigint")), "int")
+    return Value(F.call_function("div", a.col, F.lit(by).cast("bigint")), "int")
 
 
 def negative(a: Value) -> Value:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..errors import EvaluationError
 from ..functions.values import MARK, SQL, cell
 from ..plans.strata import dependencies, strongly_connected
-from ..plans.terms import Aggregate, Literal, Rule, Signature
+from ..plans.terms import Literal, Rule, Signature
 from ..plans.typing import Types
 from ..sources.scratch import LOCAL_ROWS, Stored, store
 from .body import UNIT, Compiler
@@ -95,19 +95,15 @@ class Database:
         """The distinct rows of some plans, without those that a table has already."""
         new = union_all(parts).distinct()
         if without is None or not without.count:
-            return self._fitted(store(new, large))
-        if without.count > 50 * LOCAL_ROWS and not large:
+            return store(new, large)
+        if without.count > 20 * LOCAL_ROWS and not large:
             # few candidates against a large table: look them up where it lies instead of shuffling it
             found = store(new)
             if found.paths:
                 return store(minus(found.df, without.df), True)
             seen = minus(without.df, F.broadcast(found.df), "left_semi")
-            return self._fitted(store(minus(found.df, seen)))
-        return self._fitted(store(minus(new, without.df), large))
-
-    @staticmethod
-    def _fitted(s: Stored) -> Stored:
-        return s
+            return store(minus(found.df, seen))
+        return store(minus(new, without.df), large)
 
 
 class Rounds:
@@ -170,7 +166,3 @@ def groups(rules: list[Rule], strata: list[set[Signature]], lockstep: bool) -> l
         by_head[rule.head.signature].append(rule)
     parts = strata if lockstep else [set(c) for c in strongly_connected(dependencies(rules))]
     return [([r for r in rules if r.head.signature in part] if len(part) > 1 else by_head[next(iter(part))], part) for part in parts]
-
-
-def has_aggregate(rule: Rule) -> bool:
-    return any(isinstance(x, Aggregate) for x in rule.body)

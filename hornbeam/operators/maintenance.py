@@ -9,41 +9,70 @@ from __future__ import annotations
 
 import time
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 
-from ..plans.terms import Aggregate, Atom, BodyLiteral, Literal, Rule, Signature, order_key, reads
-from .fixpoint import Database, Rounds, has_aggregate, minus
 from ..functions.values import plain
+from ..plans.terms import Aggregate, Atom, BodyLiteral, Const, Literal, Rule, Signature, order_key, reads
 from ..sources.scratch import Stored
+from .fixpoint import Database, Rounds, minus
 
 
 class Delta:
-    """What an update added and removed, by predicate."""
+    """What an update added and removed, by predicate: tables, collected only when looked at."""
 
     def __init__(self, added: dict[Signature, set[tuple]] | None = None, removed: dict[Signature, set[tuple]] | None = None, stats: dict | None = None):
-        self.added = {s: set(t) for s, t in (added or {}).items() if t}
-        self.removed = {s: set(t) for s, t in (removed or {}).items() if t}
+        self._sets = [{s: set(t) for s, t in (side or {}).items() if t} for side in (added, removed)]
+        self._tables: tuple[dict[Signature, Stored], ...] = ({}, {})
+        self._kinds: Callable[[Signature], list[str]] = lambda s: []
         self.stats = stats or {}
 
+    @classmethod
+    def of(cls, added: dict[Signature, Stored], removed: dict[Signature, Stored], kinds: Callable[[Signature], list[str]], stats: dict) -> Delta:
+        out = cls(stats=stats)
+        out._tables, out._kinds = (added, removed), kinds
+        return out
+
+    def _side(self, k: int) -> dict[Signature, set[tuple]]:
+        for s, t in self._tables[k].items():
+            if s not in self._sets[k]:
+                self._sets[k][s] = tuples_of(t.df, self._kinds(s)) if s[1] else {()}
+        return self._sets[k]
+
+    @property
+    def added(self) -> dict[Signature, set[tuple]]:
+        return self._side(0)
+
+    @property
+    def removed(self) -> dict[Signature, set[tuple]]:
+        return self._side(1)
+
+    def added_table(self, name: str) -> DataFrame:
+        """The added tuples of a predicate as a DataFrame, not collected."""
+        return next(t.df for s, t in self._tables[0].items() if s[0] == name)
+
+    def removed_table(self, name: str) -> DataFrame:
+        return next(t.df for s, t in self._tables[1].items() if s[0] == name)
+
+    def _counts(self, k: int) -> dict[Signature, int]:
+        return {s: len(t) for s, t in self._sets[k].items()} | {s: t.count for s, t in self._tables[k].items()}
+
     def __len__(self) -> int:
-        return sum(map(len, [*self.added.values(), *self.removed.values()]))
+        return sum(self._counts(0).values()) + sum(self._counts(1).values())
 
     def __bool__(self) -> bool:
         return len(self) > 0
 
     def __repr__(self) -> str:
-        return f"<Delta +{sum(map(len, self.added.values()))} -{sum(map(len, self.removed.values()))}>"
+        return f"<Delta +{sum(self._counts(0).values())} -{sum(self._counts(1).values())}>"
 
     @property
     def predicates(self) -> list[Signature]:
-        return sorted({*self.added, *self.removed})
+        return sorted({*self._counts(0), *self._counts(1)})
 
     @staticmethod
     def _facts(side: dict[Signature, set[tuple]], name: str | None) -> list[Atom]:
-        from ..plans.terms import Const
-
         keep = sorted(s for s in side if name in (None, s[0]))
         return [Atom(s[0], tuple(map(Const, t))) for s in keep for t in sorted(side[s], key=lambda t: tuple(map(order_key, t)))]
 
@@ -86,10 +115,8 @@ class Maintainer:
         began = time.perf_counter()
         for level in self.strata:
             self._stratum([r for r in self.rules if r.head.signature in level], level)
-        kinds = self.db.compiler().kinds
-        sides = [{s: tuples_of(t.df, kinds(s)) if s[1] else {()} for s, t in side.items()} for side in (self.added, self.removed)]
         stats = {"mode": "incremental", "iterations": self.iterations, "rederived": self.rederived, "tuples": sum(t.count for t in self.db.tables.values()), "seconds": time.perf_counter() - began}
-        return Delta(*sides, stats)
+        return Delta.of(self.added, self.removed, self.db.compiler().kinds, stats)
 
     def _stratum(self, rules: list[Rule], own: set[Signature]) -> None:
         moved = {*self.added, *self.removed}
