@@ -26,10 +26,14 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_NAME = re.compile("|".join(_NAMES))
+_NAME = re.compile("|".join(_NAMES).encode())
+#: Letters of any script, and marks that stand at the ends of plain words.
+_PLAIN = bytes(b for b in range(256) if b > 127 or chr(b).isalpha()) + b".,;!?'()"
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _HEX_RUN = re.compile(rb"[0-9a-f]{16}")
+_CORE, _TURNS = re.compile(rb"[A-Za-z0-9+/_.=-]+"), re.compile(rb"\d[A-Za-z]|[A-Za-z]\d")
+_CLASSES = re.compile(rb"\d"), re.compile(rb"[A-Z]"), re.compile(rb"[a-z]")
 OUT, BEGIN, INSIDE = range(3)
 SHAPES, NEAR, FILE = 256, 8, 4
 LONG_HEX, ACCESS_KEY, NAMES_SECRET = 1, 2, 4
@@ -48,20 +52,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def shape(word: bytes) -> tuple[int, int]:
     """A number for the word's shape, under SHAPES, and what the patterns may find in it."""
-    flags = (LONG_HEX if _HEX_RUN.search(word) else 0) | (ACCESS_KEY if b"AKIA" in word else 0)
-    if word.isalpha() and len(word) < 24:
-        low = word.lower()
-        names = any(n.encode() in low for n in _NAMES)
-        return (2 if names else 1), flags | (NAMES_SECRET if names else 0)
-    low = word.lower()
-    if any(n.encode() in low for n in _NAMES):
-        flags |= NAMES_SECRET
+    flags, low = 0, word.lower()
+    if len(word) > 4 and _NAME.search(low):
+        flags = NAMES_SECRET
+    if len(word) < 24 and not word.translate(None, _PLAIN):
+        if len(word) > 15 and _HEX_RUN.search(word):
+            flags |= LONG_HEX
+        return (2 if flags & NAMES_SECRET else 1), flags | (ACCESS_KEY if b"AKIA" in word else 0)
+    flags |= (LONG_HEX if _HEX_RUN.search(word) else 0) | (ACCESS_KEY if b"AKIA" in word else 0)
     if word in (b"=", b":", b":=", b"=="):
         return 3, flags
-    core = max(re.findall(rb"[A-Za-z0-9+/_.=-]+", word), key=len, default=b"")
-    digit, upper, lower = (bool(re.search(p, core)) for p in (rb"\d", rb"[A-Z]", rb"[a-z]"))
+    core = max(_CORE.findall(word), key=len, default=b"")
+    digit, upper, lower = (bool(p.search(core)) for p in _CLASSES)
     size = sum(len(core) >= k for k in (4, 8, 12, 16, 24, 32))
-    turns = len(re.findall(rb"\d[A-Za-z]|[A-Za-z]\d", core))
+    turns = len(_TURNS.findall(core))
     mixed = 0 if not turns else 1 if turns < 3 else 2
     if b"." in core.strip(b".") or b"@" in word or any(b > 127 for b in word):
         mixed = 3  # addresses, numbers with points, words in other scripts
@@ -171,18 +175,24 @@ class Field:
         return out
 
     def decode(self, feats: np.ndarray) -> np.ndarray:
-        """Viterbi over the whole text, run only where a word could be other than outside."""
-        move = self.moves()
-        most = max(move[a, x] + move[x, b] - move[a, OUT] - move[OUT, b] for x in (BEGIN, INSIDE) for a in range(3) for b in range(3) if a or x != INSIDE)
-        edge = max(0.0, *(move[x, b] - move[OUT, b] for x in (BEGIN, INSIDE) for b in range(3)), *(move[a, x] - move[a, OUT] for x in (BEGIN, INSIDE) for a in range(3) if a or x != INSIDE))
-        gain = self.emit - self.emit[:, [OUT]]
-        possible = gain[feats].sum(axis=1)[:, 1:].max(axis=1) + max(most, edge) >= 0
+        """Viterbi over the whole text, run only where a word could be other than outside.
+
+        Making a stretch of secret labels outside changes the score by at most its words' gains, each with the
+        best move into it, and the best move out. A word in no stretch where that sum is positive is outside.
+        """
+        move, gain = self.moves(), self.emit - self.emit[:, [OUT]]
+        into = max(move[a, x] for a in range(3) for x in (BEGIN, INSIDE)) - move[OUT, OUT]
+        leave = max(0.0, move[BEGIN, OUT] - move[OUT, OUT], move[INSIDE, OUT] - move[OUT, OUT])
+        step = gain[:, 1:][feats].sum(axis=1).max(axis=1) + max(into, 0.0)
         out = np.zeros(len(feats), np.int64)
-        at = np.flatnonzero(possible)
-        if len(at):
-            for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                first, last = max(0, run[0] - 1), min(len(feats), run[-1] + 2)
-                out[first:last] = self.viterbi(self.emit[feats[first:last]].sum(axis=1))
+        if step.max() + leave < 0:
+            return out
+        run = np.append(0.0, np.cumsum(step))
+        best = np.maximum.accumulate(run[:0:-1])[::-1] - np.minimum.accumulate(run[:-1])  # of the stretches that hold the word
+        at = np.flatnonzero(best + leave >= 0)
+        for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
+            first, last = max(0, part[0] - 1), min(len(feats), part[-1] + 2)
+            out[first:last] = self.viterbi(self.emit[feats[first:last]].sum(axis=1))
         return out
 
 
@@ -220,8 +230,7 @@ def find(text: str | None, field: Field) -> list[tuple[str, int, int]]:
     if not text:
         return []
     numbers = numbers_of(text)
-    flags = np.bitwise_or.reduce(numbers & 7) if len(numbers) else 0
-    spans = base_spans(text) if flags & 7 or any(n in text.lower() for n in _NAMES) else []
+    spans = base_spans(text) if (numbers & 7).any() else []  # nothing that the patterns find spans words without a flag
     if len(numbers):
         labels = field.decode(features(numbers, file_feature(numbers)))
         if labels.any():
