@@ -110,25 +110,43 @@ class Model:
         return np.where(fits, score, -40).astype(np.float64), owner
 
     def path(self, s: np.ndarray) -> np.ndarray:
-        """The best labelling of the words: Viterbi, where a change costs the penalty."""
+        """The best labelling of the words: Viterbi, where a change costs the penalty.
+
+        A stretch of one other language gains at most its best sum of scores over the text's best language, and
+        costs a change at least. Before the first and after the last word of a stretch that gains as much,
+        the best language stays; Viterbi runs between them. Only a stretch from the text's own edge to there costs
+        no change more, so the range reaches to the edge if such a stretch gains anything.
+        """
         best = int(s.sum(axis=0).argmax())
-        gain = (s - s[:, [best]]).max(axis=1)
-        run = np.cumsum(gain)
-        if (run - np.minimum(0, np.minimum.accumulate(np.append(0, run[:-1])))).max() < self.penalty:
-            return np.full(len(s), best)  # no stretch of other languages pays for one change
-        stay, back = s[0].copy(), np.empty(s.shape, np.int32)
-        own = np.arange(s.shape[1])
-        for k in range(1, len(s)):
-            top = int(stay.argmax())
-            change = stay[top] - self.penalty
-            back[k] = np.where(stay >= change, own, top)
-            stay = np.maximum(stay, change) + s[k]
-        out = np.empty(len(s), np.int64)
-        out[-1] = stay.argmax()
-        for k in range(len(s) - 1, 0, -1):
-            out[k - 1] = back[k, out[k]]
+        run = np.zeros((len(s) + 1, s.shape[1]))
+        np.cumsum(s - s[:, [best]], axis=0, out=run[1:])
+        most = np.maximum.accumulate(run[:0:-1], axis=0)[::-1] - np.minimum.accumulate(run[:-1], axis=0)  # of the stretches that hold the word
+        out = np.full(len(s), best)
+        pays = np.flatnonzero((most >= self.penalty).any(axis=1))
+        if len(pays):
+            first, last = int(pays[0]), int(pays[-1]) + 1
+            first = 0 if (run[first:].max(axis=0) > 0).any() else first
+            last = len(s) if (run[-1] - run[: last + 1].min(axis=0) > 0).any() else last
+            out[first:last] = self.viterbi(s[first:last], best if first else None, best if last < len(s) else None)
         return out
 
+    def viterbi(self, s: np.ndarray, before: int | None, after: int | None) -> list[int]:
+        langs, cost = range(s.shape[1]), self.penalty
+        rows = s.tolist()
+        score = [x - (cost if before is not None and k != before else 0.0) for k, x in zip(langs, rows[0])]
+        back = []
+        for row in rows[1:]:
+            top = max(score)
+            change, lead = top - cost, score.index(top)
+            back.append([k if score[k] >= change else lead for k in langs])
+            score = [(x if x >= change else change) + y for x, y in zip(score, row)]
+        if after is not None:
+            score = [x - (cost if k != after else 0.0) for k, x in zip(langs, score)]
+        out = [score.index(max(score))]
+        for step in reversed(back):
+            out.append(step[out[-1]])
+        return out[::-1]
+
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
         """Language, share of its words, and spans (language, first word, words) of each text."""
         out: list[tuple[str, float, list]] = [("und", 0.0, [])] * len(texts)
