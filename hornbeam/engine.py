@@ -36,18 +36,23 @@ def default_session() -> SparkSession:
 class Relation:
     """A predicate's tuples: a DataFrame, collected only when looked at."""
 
-    def __init__(self, name: str, arity: int, df: DataFrame, kinds: list[str], count: int, rounds: list | None = None):
-        self.name, self.arity, self.df, self._kinds, self._count, self._rounds = name, arity, df, kinds, count, rounds
+    def __init__(self, name: str, arity: int, table: Stored, kinds: list[str], rounds: list | None = None):
+        self.name, self.arity, self._table, self._kinds, self._rounds = name, arity, table, kinds, rounds
         self._tuples: set[tuple] | None = None
 
     @property
     def signature(self) -> Signature:
         return self.name, self.arity
 
+    @property
+    def df(self) -> DataFrame:
+        """The tuples as they are stored, in columns c0, c1, ...; mixed columns are structs."""
+        return self._table.df.distinct() if self._table.registered else self._table.df
+
     @property
     def tuples(self) -> set[tuple]:
         if self._tuples is None:
-            self._tuples = tuples_of(self.df, self._kinds) if self.arity else {()} if self._count else set()
+            self._tuples = tuples_of(self.df, self._kinds) if self.arity else {()} if len(self) else set()
         return self._tuples
 
     @property
@@ -63,7 +68,7 @@ class Relation:
         return sorted(self.tuples, key=lambda t: tuple(map(order_key, t)))
 
     def __len__(self) -> int:
-        return self._count
+        return self._table.count
 
     def __iter__(self) -> Iterator[tuple]:
         return iter(self.tuples)
@@ -72,7 +77,7 @@ class Relation:
         return tuple(row) in self.tuples
 
     def __repr__(self) -> str:
-        return f"<Relation {self.name}/{self.arity} with {self._count} tuples>"
+        return f"<Relation {self.name}/{self.arity} with {len(self)} tuples>"
 
 
 class QueryResult:
@@ -119,6 +124,7 @@ class QueryResult:
 class Engine:
     """Evaluates programs over inline facts and registered tables.
 
+    Figures and the guard on tuples count what is stored: inline facts and derived tuples, not registered tables.
     NULLs of registered tables are constants that equal nothing, not even each other, in joins and comparisons.
     """
 
@@ -208,7 +214,7 @@ class Engine:
             for k, v in saved.items():
                 self.spark.conf.set(k, v)
         self._db, self._rounds = db, rounds
-        self.stats = {"strata": len(self.strata), "iterations": iterations, "rules": len(self.rules), "predicates": len(self._signatures()), "tuples": sum(t.count for t in db.tables.values()), "seconds": time.perf_counter() - began}
+        self.stats = {"strata": len(self.strata), "iterations": iterations, "rules": len(self.rules), "predicates": len(self._signatures()), "tuples": db.total(), "seconds": time.perf_counter() - began}
         self._dirty = False
         return self
 
@@ -236,7 +242,7 @@ class Engine:
             for s, t in delta.items():
                 if self.track_derivations:
                     rounds[s].append((generation, t))
-            if delta and (total := sum(t.count for t in db.tables.values())) > self.max_tuples:
+            if delta and (total := db.total()) > self.max_tuples:
                 raise EvaluationError(f"derived {total} tuples, more than the limit of {self.max_tuples} tuples")
 
         def table_of(s: Signature) -> DataFrame:
@@ -245,7 +251,7 @@ class Engine:
                 return df
             return df.select(*[Value(F.col(f"c{i}"), a).to(b).alias(f"c{i}") for i, (a, b) in enumerate(zip(self._base_kinds[s], wanted))])
 
-        own_base = {s: Stored.view(self.spark, table_of(s).distinct()) for s in self._base if s not in derived}
+        own_base = {s: Stored.view(self.spark, table_of(s)) for s in self._base if s not in derived}
         db.tables.update(own_base)
         if own_base:
             generation += 1
@@ -274,7 +280,8 @@ class Engine:
             raise DeductiveError(f"{name} has several arities: {', '.join(f'{n}/{a}' for n, a in found)}; say which")
         signature = found[0] if found else (name, arity or 0)
         db = self._db
-        return Relation(*signature, db.df(signature) if found else db.empty(signature).df, db.compiler().kinds(signature), db.count(signature), self._rounds.get(signature))
+        table = db.stored(signature) if found else db.empty(signature)
+        return Relation(*signature, table, db.compiler().kinds(signature), self._rounds.get(signature))
 
     @property
     def relations(self) -> dict[Signature, Relation]:
@@ -378,7 +385,7 @@ class Engine:
                 self._db = db
                 if self.track_derivations:  # rounds are those of a whole evaluation
                     self._dirty = True
-        self.stats = {**self.stats, "rules": len(self.rules), "predicates": len(self._signatures()), "tuples": sum(t.count for t in self._db.tables.values())}
+        self.stats = {**self.stats, "rules": len(self.rules), "predicates": len(self._signatures()), "tuples": self._db.total()}
         return delta
 
     def _in_base(self, signature: Signature, row: tuple) -> bool:

@@ -79,8 +79,16 @@ class Database:
     def df(self, signature: Signature) -> DataFrame:
         return self.stored(signature).df
 
-    def count(self, signature: Signature) -> int:
-        return self.tables[signature].count if signature in self.tables else 0
+    def total(self) -> int:
+        """Stored tuples; registered tables are read where they lie and not counted."""
+        return sum(t.count for t in self.tables.values() if not t.registered)
+
+    def without(self, signature: Signature, gone: Stored) -> Stored:
+        """The table of a predicate without some of its rows."""
+        table = self.stored(signature)
+        if table.registered:
+            return Stored.view(self.spark, minus(table.df, gone.df))
+        return self.store([minus(table.df, gone.df)], None, bool(table.paths))
 
     def rows(self, signature: Signature, tuples: Iterable[tuple]) -> DataFrame:
         """Ground tuples as one local relation."""
@@ -94,8 +102,10 @@ class Database:
     def store(self, parts: list[DataFrame], without: Stored | None = None, large: bool = False) -> Stored:
         """The distinct rows of some plans, without those that a table has already."""
         new = union_all(parts).distinct()
-        if without is None or not without.count:
+        if without is None or (not without.registered and not without.count):
             return store(new, large)
+        if without.registered:
+            return store(minus(new, without.df), large)
         if without.count > 20 * LOCAL_ROWS and not large:
             # few candidates against a large table: look them up where it lies instead of shuffling it
             found = store(new)

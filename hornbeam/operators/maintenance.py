@@ -115,7 +115,7 @@ class Maintainer:
         began = time.perf_counter()
         for level in self.strata:
             self._stratum([r for r in self.rules if r.head.signature in level], level)
-        stats = {"mode": "incremental", "iterations": self.iterations, "rederived": self.rederived, "tuples": sum(t.count for t in self.db.tables.values()), "seconds": time.perf_counter() - began}
+        stats = {"mode": "incremental", "iterations": self.iterations, "rederived": self.rederived, "tuples": self.db.total(), "seconds": time.perf_counter() - began}
         return Delta.of(self.added, self.removed, self.db.compiler().kinds, stats)
 
     def _stratum(self, rules: list[Rule], own: set[Signature]) -> None:
@@ -124,7 +124,7 @@ class Maintainer:
             return
         gone = self._overdelete(rules, own, moved)
         for s, t in gone.items():
-            self.db.tables[s] = self.db.store([minus(self.db.df(s), t.df)], None, bool(self.db.stored(s).paths))
+            self.db.tables[s] = self.db.without(s, t)
         back = self._rederive(rules, gone)
         new = self._insert(rules, own, moved)
         for s in {*gone, *new}:

@@ -133,7 +133,7 @@ class Prover:
         return out
 
     def round_of(self, signature: Signature, row: tuple) -> int | None:
-        if self.db.count(signature) == 0:
+        if signature not in self.db.tables:
             return None
         names = [f"a{k}" for k in range(signature[1])] or ["unit"]
         df = self.tracked(signature, 1 << 60).toDF(*names, "r")
