@@ -45,6 +45,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a path made here that nothing reads any more; its last part is unique, however the rest is spelt."""
+    name = path.rstrip("/").rpartition("/")[2]
+    for known in [k for k in _made if k.endswith(f"/{name}")]:
+        _delete(known, spark)
+        del _made[known]
+
+
 class Stored:
     """A set of rows that later plans read without its lineage: one local part, some written ones, or a registered table."""
 
