@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import identified, rows_of
+from .common import identified, remembers, rows_of, working
 
 #: The byte-level pre-tokeniser's pattern (fixed value).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -206,6 +206,9 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
+remembers("bpe", bpe.cache_clear)
+
+
 def encode_decode(docs: DataFrame, vocab: str) -> DataFrame:
     """One row per document: doc_id, ids array<int>, decoded string.
 
@@ -213,6 +216,7 @@ def encode_decode(docs: DataFrame, vocab: str) -> DataFrame:
     """
 
     def run(batches):
+        working("bpe")
         coder = bpe(vocab)
         for batch in rows_of(batches, 256):
             ids = coder.encode(batch.column(1).to_pylist())

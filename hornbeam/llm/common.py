@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -13,59 +10,36 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, new_path
+
 #: ASCII blanks that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-_made: dict[str, SparkSession] = {}
-_local: list[str] = []
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _clean() -> None:
-    for path, spark in list(_made.items()):
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session is gone: the folder's owner clears it
-            pass
-
-
-atexit.register(_clean)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``).
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write a table in the shared folder and read it back.
 
-    Only where that setting is absent, as in tests on one machine, a temporary folder is made.
+    While it is written, Python workers get small Arrow batches: rows may hold whole texts, even two.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not _local:
-            _local.append("file://" + tempfile.mkdtemp(prefix="hornbeam-"))
-        base = _local[0]
-    path = f"{base}/hornbeam-{uuid.uuid4().hex}-{name}"
-    _made[path] = spark
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a table in the shared folder and read it back."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, 8 << 20)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if name in _made:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-            del _made[name]
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        discard(df.sparkSession, path)
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
@@ -78,10 +52,28 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+_memories: dict[str, Callable[[], object]] = {}
+_current: list[str] = []
+
+
+def remembers(owner: str, forget_all: Callable[[], object]) -> None:
+    """Say how what an operator keeps in a Python worker is dropped."""
+    _memories[owner] = forget_all
+
+
+def working(owner: str) -> None:
+    """A task of this operator begins: what other operators kept in the worker goes."""
+    if _current != [owner]:
+        for other, drop in _memories.items():
+            if other != owner:
+                drop()
+        _current[:] = [owner]
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bound."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import identified, materialise, rows_of
+from .common import identified, materialise, remembers, rows_of, working
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -124,6 +124,9 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+remembers("packing", word_ids.cache_clear)
+
+
 def tokenised(docs: DataFrame, vocab: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Pieces of at most ``capacity`` ids: the document's ids, then ``end_id``; only longer ones are cut.
 
@@ -131,6 +134,7 @@ def tokenised(docs: DataFrame, vocab: str, capacity: int = 4096, end_id: int = 1
     """
 
     def run(batches):
+        working("packing")
         words = word_ids(vocab)
         for batch in rows_of(batches, 256):
             out = []

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialise
+from .common import forget, materialise, remembers, working
 
 LOW, NONE, HIGH = -1, 0, 1
 BUCKETS = 1 << 14
@@ -123,13 +123,15 @@ def _squeeze(word: bytes) -> bytes:
 
 
 _squeezed: dict[bytes, int] = {}
+remembers("quality", _squeezed.clear)
 
 
 def features(text: str, vote: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features: shares of word shapes, votes, and rough figures of the text."""
+    working("quality")
     words = text.encode("utf-8", "replace").split()
     found: Counter[int] = Counter()
-    if len(_squeezed) > 300_000:
+    if len(_squeezed) > 200_000:
         _squeezed.clear()
     for w, n in Counter(words).items():
         if (h := _squeezed.get(w)) is None:

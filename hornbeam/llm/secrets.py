@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import remembers, working
+
 KINDS = ("assign", "access", "hex", "crf")
 #: The base patterns (fixed values); letters of the names in either case.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -35,7 +37,7 @@ _HEX_RUN = re.compile(rb"[0-9a-f]{16}")
 _CORE, _TURNS = re.compile(rb"[A-Za-z0-9+/_.=-]+"), re.compile(rb"\d[A-Za-z]|[A-Za-z]\d")
 _CLASSES = re.compile(rb"\d"), re.compile(rb"[A-Z]"), re.compile(rb"[a-z]")
 OUT, BEGIN, INSIDE = range(3)
-SHAPES, NEAR, FILE = 256, 8, 4
+SHAPES, NEAR, FILE, ROUGH = 256, 8, 4, 36
 LONG_HEX, ACCESS_KEY, NAMES_SECRET = 1, 2, 4
 
 
@@ -77,7 +79,7 @@ class Shapes(dict):
     """word -> (shape, flags) in one number, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 250_000:
             self.clear()
         number, flags = shape(word)
         self[word] = out = number * 8 + flags
@@ -85,6 +87,7 @@ class Shapes(dict):
 
 
 _shapes = Shapes()
+remembers("secrets", _shapes.clear)
 
 
 def file_feature(numbers: np.ndarray) -> int:
@@ -96,15 +99,16 @@ def file_feature(numbers: np.ndarray) -> int:
 
 
 def features(numbers: np.ndarray, of_file: int) -> np.ndarray:
-    """Five active features per word: its shape, the shapes before and after, names near before, the file."""
+    """Six active features per word: its shape, the shapes before and after, names near before, the file, length and mixture alone."""
     s = numbers >> 3
+    rough = np.where(s < 4, s, 4 + (s - 4) // 32 * 4 + (s - 4) % 4)
     named = np.append(np.zeros(3, bool), numbers & NAMES_SECRET > 0)
     near = named[2:-1] * 1 + named[1:-2] * 2 + named[:-3] * 4
     before, after = np.append(0, s[:-1]), np.append(s[1:], 0)
-    return np.column_stack([s, SHAPES + before, 2 * SHAPES + after, 3 * SHAPES + near, np.full(len(s), 3 * SHAPES + NEAR + of_file)])
+    return np.column_stack([s, SHAPES + before, 2 * SHAPES + after, 3 * SHAPES + near, np.full(len(s), 3 * SHAPES + NEAR + of_file), 3 * SHAPES + NEAR + FILE + rough])
 
 
-N_FEATURES = 3 * SHAPES + NEAR + FILE
+N_FEATURES = 3 * SHAPES + NEAR + FILE + ROUGH
 
 
 class Field:
@@ -201,6 +205,7 @@ def words_with_places(text: str) -> list[tuple[int, int]]:
 
 
 def numbers_of(text: str) -> np.ndarray:
+    working("secrets")
     words = text.encode("utf-8", "replace").split()
     return np.fromiter(map(_shapes.__getitem__, words), np.int64, len(words))
 
@@ -269,7 +274,7 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = 600, id_col: st
 
     rows = known.where(F.col("draw") < limit).select("text").mapInPandas(label, "feats binary, labels binary").collect()
     pairs = sorted((bytes(r["feats"]), bytes(r["labels"])) for r in rows)
-    return Field().fit([(np.frombuffer(f, np.int64).reshape(-1, 5), np.frombuffer(x, np.int64)) for f, x in pairs])
+    return Field().fit([(np.frombuffer(f, np.int64).reshape(-1, 6), np.frombuffer(x, np.int64)) for f, x in pairs])
 
 
 def scan(docs: DataFrame, text_col: str = "text", sample: int = 600, field: Field | None = None) -> DataFrame:

@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, forget, identified, materialise, mix, rows_of, split_words, windows
+from .common import WordHashes, forget, identified, materialise, mix, remembers, rows_of, split_words, windows, working
 from .membership import maybe_among
 
 _hashes = WordHashes()
+remembers("substring", _hashes.clear)
 _FIRST = -(1 << 63)
 _ASKED = "bucket int, docs binary, keys binary, hashes binary, owners binary, places binary, known binary, known_owners binary, known_places binary"
 _ANSWERED = "part int, docs binary, keys binary, owners binary, places binary"
@@ -147,6 +148,7 @@ def repeated_windows(docs: DataFrame, size: int = 13) -> DataFrame:
     buckets = max(4, -(-octets // BUCKET_BYTES))
 
     def level_one(batches):
+        working("substring")
         for turn, batch in enumerate(rows_of(batches, 2048)):
             found = []
             for doc, key, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -159,6 +161,7 @@ def repeated_windows(docs: DataFrame, size: int = 13) -> DataFrame:
                 yield from _emit(asked(found, buckets, turn, True))
 
     def level_two(batches):
+        working("substring")
         for turn, batch in enumerate(rows_of(batches, 2048)):
             found = []
             for doc, key, text, places in zip(*(c.to_pylist() for c in batch.columns)):
