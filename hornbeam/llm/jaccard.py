@@ -9,9 +9,11 @@ pairs are counted, and length, positional and suffix filters drop pairs before
 each is verified once on the whole sets.
 
 No group is expanded into all its pairs. A first round verifies each class only
-against the smallest class of each prefix shingle it shares; what is found linked
-merges. A second round verifies every pair that still lies in two components, and
-so loses no link that could join them.
+against the leader, the class of the smallest document, of each prefix shingle it
+shares; what is found linked merges. A second round verifies every pair that still
+lies in two components, and so loses no link that could join them. There, two
+classes that were compared with one leader and share too little with it can link
+only by shingles that the leader has not, so they meet on those instead.
 """
 
 from __future__ import annotations
@@ -23,25 +25,44 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, forget, identified, materialise, rows_of, split_words, windows
+from .common import WordHashes, forget, identified, materialise, mix, remembers, rows_of, windows, working
 from .graph import components
 from .membership import maybe_among
 
 SKETCH_BITS, _PART = 20, 1 << 12
+_FIRST = -(1 << 63)
 DEPTH = 3
+_COMPARED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("linked", pa.bool_()), ("common", pa.int64()), ("beyond", pa.list_(pa.int64()))])
 _hashes = WordHashes()
+remembers("jaccard", _hashes.clear)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: str | None, size: int = 5) -> np.ndarray:
-    """The sorted set of shingle hashes; a shorter text is one shingle."""
-    words = split_words(text.translate(_LOWER) if text else None)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = _hashes.of(words)
-    return np.unique(windows(h, size)) if len(words) >= size else windows(h, len(words)) ^ np.uint64(len(words))
+def shingle_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
+    """The sorted set of shingle hashes of each text; a text of fewer words is one shingle.
+
+    All texts' words stand in one array and are hashed together; what spans two texts is left out.
+    """
+    words = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]  # of bytes, lower() changes A to Z alone
+    ends = np.cumsum([0, *map(len, words)])
+    h = _hashes.of([w for ws in words for w in ws])
+    rolled = np.zeros(max(0, len(h) - size + 1), np.uint64)
+    for k in range(size):
+        rolled = rolled * _STEP + h[k : k + len(rolled)]
+    rolled = mix(rolled)
+    out = []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        if b - a >= size:
+            s = np.sort(rolled[a : b - size + 1])
+            out.append(s[np.append(True, s[1:] != s[:-1])])
+        else:
+            out.append(windows(h[a:b], b - a) ^ np.uint64(b - a) if b > a else np.empty(0, np.uint64))
+    return out
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
+def hash_of(s: np.ndarray) -> int | None:
+    """What stands for a whole set: its class."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
 
 
 def least_overlap(n: Column | int, percent: int):
@@ -53,9 +74,10 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
     """How many documents' sets have a shingle in each of a fixed number of buckets."""
 
     def count(batches):
+        working("jaccard")
         total = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in rows_of(batches):
-            sets = [shingles(t, size) for t in batch.column(0).to_pylist()]
+            sets = shingle_sets(batch.column(0).to_pylist(), size)
             if sets:
                 total += np.bincount(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), minlength=len(total)).astype(np.int32)
         for part in range(len(total) // _PART):
@@ -78,12 +100,12 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     order = docs.sparkSession.sparkContext.broadcast(sketch(docs, size))
 
     def run(batches):
+        working("jaccard")
         for batch in rows_of(batches):
             n, kind, first = [], [], []
-            for t in batch.column(1).to_pylist():
-                s = shingles(t, size)
+            for s in shingle_sets(batch.column(1).to_pylist(), size):
                 n.append(len(s))
-                kind.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
+                kind.append(hash_of(s))
                 many = min(len(s), len(s) - least_overlap(len(s), percent) + DEPTH)
                 first.append(s[np.lexsort((s, order.value[s >> np.uint64(64 - SKETCH_BITS)]))[:many]].view(np.int64))
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
@@ -93,26 +115,42 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class long, prefix array<long>")
 
 
+def similar_sizes(nx: Column, ny: Column, percent: int) -> Column:
+    """Length filter."""
+    return 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
+
+
 def possible(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> Column:
     """Length and positional filters for two sets that meet at places px and py of their orders."""
-    length = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
-    most = F.least(px, py) + 1 + F.least(nx - px, ny - py) - 1
-    return length & ((100 + percent) * most >= percent * (nx + ny))
+    most = F.least(px, py) + F.least(nx - px, ny - py)
+    return similar_sizes(nx, ny, percent) & ((100 + percent) * most >= percent * (nx + ny))
+
+
+def needed(nx: Column, ny: Column, percent: int) -> Column:
+    """The fewest common shingles of a pair over the threshold."""
+    return F.ceil(percent * (nx + ny) / F.lit(100 + percent))
 
 
 def enough(nx: Column, ny: Column, met: Column, percent: int) -> Column:
-    """Do the prefixes share as many shingles as a pair over the threshold must?"""
-    need = F.ceil(percent * (nx + ny) / F.lit(100 + percent))
-    return met >= F.least(F.lit(DEPTH), need)
+    """Do the prefixes share as many shingles as those of any pair over the threshold?"""
+    return met >= F.least(F.lit(DEPTH), needed(nx, ny, percent))
+
+
+def leads(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> Column:
+    """Is the shingle among the first of the smaller set, as far as a partner of its size or more needs?
+
+    Such a partner shares at least ``2 * percent / (100 + percent)`` of the set, so DEPTH of the common shingles
+    lie in a prefix that is about half as long as the one that larger sets need.
+    """
+    first = lambda n: n - F.floor((2 * percent * n + 99 + percent) / F.lit(100 + percent)) + DEPTH
+    return F.when(nx <= ny, px < first(nx)).otherwise(py < first(ny))
 
 
-def overlap_reaches(a: np.ndarray, b: np.ndarray, need: int, depth: int = 3) -> bool:
-    """Suffix filter, then the exact count: halves of the hash range bound the common shingles from above."""
+def overlap_possible(a: np.ndarray, b: np.ndarray, need: int, depth: int = 3) -> bool:
+    """Suffix filter: equal parts of the hash range bound the common shingles from above."""
     edges = np.arange(1, 2**depth, dtype=np.uint64) << np.uint64(64 - depth)
     parts = [np.diff(np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])) for s in (a, b)]
-    if np.minimum(*parts).sum() < need:
-        return False
-    return len(np.intersect1d(a, b, assume_unique=True)) >= need
+    return bool(np.minimum(*parts).sum() >= need)
 
 
 def narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -120,58 +158,117 @@ def narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.where(maybe_among(ids.select("doc_id"))(F.col("doc_id"))).join(ids, "doc_id", "left_semi")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sets reach the threshold."""
+def compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes with the sizes of their sets, and ``linked``, ``common`` (exact unless the suffix
+    filter shows that it is too small: then null) and ``beyond``, the shingles of b that a has not (of pairs with ``common``)."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     chosen = wanted.join(classes.select("class", F.col("rep").alias("doc_id")), "class")
     # a document id may stand in several rows with other texts; the class tells the right one
-    texts = narrowed(docs, chosen.select("doc_id")).join(chosen, "doc_id").select("class", "text").groupBy("class", "text").agg(F.count("*").alias("n")).select("class", "text")
+    texts = narrowed(docs, chosen.select("doc_id")).join(chosen, "doc_id").select("class", "text").distinct()
     one = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
     both = one.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def check(batches):
-        last, text = np.empty(0, np.uint64), None
-        for pdf in batches:
-            keep = []
-            for ta, tb, a, b in zip(pdf["text_a"], pdf["text_b"], pdf["a"], pdf["b"]):
-                if ta != text:
-                    last, text = shingles(ta, size), ta
-                other = shingles(tb, size)
-                total = len(last) + len(other)
-                keep.append(len(last) > 0 and overlap_reaches(last, other, -(-percent * total // (100 + percent))))
-            yield pdf.loc[keep, ["a", "b"]]
+        working("jaccard")
+        for batch in rows_of(batches, 256):
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            kinds = list(dict.fromkeys(t for r in rows for t in r[2:]))
+            sets = dict(zip(kinds, shingle_sets(kinds, size)))
+            out = []
+            for a, b, ta, tb in rows:
+                x, y = sets[ta], sets[tb]
+                if hash_of(x) == a and hash_of(y) == b:
+                    out.append((a, b, len(x), len(y), *compare(x, y, percent)))
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(_COMPARED.names, r)) for r in out], schema=_COMPARED)
+
+    return both.mapInArrow(check, "a long, b long, na long, nb long, linked boolean, common long, beyond array<long>")
+
+
+def compare(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[bool, int, list[int]]:
+    """Linked or not, the common shingles, and those of y that x has not. The suffix filter saves the count of hopeless pairs."""
+    need = -(-percent * (len(x) + len(y)) // (100 + percent))
+    if not len(x) or not len(y) or not overlap_possible(x, y, need // 2):  # far from it: not worth a list
+        return False, None, None
+    new = np.setdiff1d(y, x, assume_unique=True)
+    common = len(y) - len(new)
+    return common >= need, common, new.view(np.int64).tolist()
+
+
+def pairs_through_prefixes(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components that share enough leading prefix shingles.
+
+    Left out are pairs that both were compared with the first class of the shingle and share too little of it:
+    they could link only by shingles that it has not, and ``pairs_beyond_leaders`` finds those.
+    """
+    size_of = lambda c: F.shiftright(c, 31)
+    at = lambda c: F.col(c).bitwiseAND((1 << 31) - 1)
+    part = [F.max("common").alias("c"), (F.count("common") == F.count("*")).alias("k"), F.min(size_of("place")).alias("n")]
+    parts = open_.groupBy("token", "root").agg(*part)
+    left, right = (parts.select("token", *[F.col(c).alias(f"{c[0]}{side}") for c in ("root", "c", "k", "n")]) for side in "ab")
+    # components whose members are all settled with each other need not be looked into
+    whole = F.col("ka") & F.col("kb") & (F.least("ca", "cb") < needed(F.col("na"), F.col("nb"), percent))
+    between = left.join(right, "token").where((F.col("ra") < F.col("rb")) & ~whole).select("token", "ra", "rb", "cb", "kb", "nb")
+    a = open_.select("token", F.col("root").alias("ra"), F.col("class").alias("a"), F.col("place").alias("pa"), F.col("common").alias("x"))
+    b = open_.select("token", F.col("root").alias("rb"), F.col("class").alias("b"), F.col("place").alias("pb"), F.col("common").alias("y"))
+    # nor the members that are settled with the whole of the other component, nor pairs that are
+    alone = F.coalesce(F.col("kb") & F.col("x").isNotNull() & (F.least("x", "cb") < needed(size_of("pa"), F.col("nb"), percent)), F.lit(False))
+    settled = F.coalesce(F.col("x").isNotNull() & F.col("y").isNotNull() & (F.least("x", "y") < needed(size_of("pa"), size_of("pb"), percent)), F.lit(False))
+    places = size_of("pa"), at("pa"), size_of("pb"), at("pb")
+    pairs = between.join(a, ["token", "ra"]).where(~alone).join(b, ["token", "rb"]).where(possible(*places, percent) & leads(*places, percent) & ~settled)
+    # a token is in each prefix once, so the rows of a pair are the leading shingles it shares
+    counted = pairs.select("a", "b", size_of("pa").alias("nx"), size_of("pb").alias("ny")).groupBy("a", "b", "nx", "ny").agg(F.count("*").alias("met"))
+    return counted.where(enough(F.col("nx"), F.col("ny"), F.col("met"), percent)).select("a", "b")
 
-    return both.mapInPandas(check, "a long, b long").distinct()
+
+def pairs_beyond_leaders(tried: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes in different components, compared with one leader, that share enough shingles which it has not.
+
+    Of such a pair at most the smaller of the two overlaps with the leader is common inside it.
+    """
+    known = tried.where("common IS NOT NULL").join(roots.withColumnRenamed("node", "b"), "b", "left")
+    rows = known.select(F.col("a").alias("lead"), F.col("b").alias("class"), F.coalesce("root", "b").alias("root"), F.col("nb").alias("n"), "common", F.explode("beyond").alias("token"))
+    mixed = rows.groupBy("lead", "token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("lead", "token")
+    rows = rows.join(mixed, ["lead", "token"])
+    x = rows.select("lead", "token", *[F.col(c).alias(f"{c}_x") for c in ("class", "root", "n", "common")])
+    y = rows.select("lead", "token", *[F.col(c).alias(f"{c}_y") for c in ("class", "root", "n", "common")])
+    # inside the leader at most the smaller overlap is common, beyond it at most the smaller remainder
+    most = F.least("common_x", "common_y") + F.least(F.col("n_x") - F.col("common_x"), F.col("n_y") - F.col("common_y"))
+    hope = similar_sizes(F.col("n_x"), F.col("n_y"), percent) & (most >= needed(F.col("n_x"), F.col("n_y"), percent))
+    met = x.join(y, ["lead", "token"]).where((F.col("root_x") < F.col("root_y")) & hope)
+    counted = met.groupBy("lead", "class_x", "class_y", "n_x", "n_y", "common_x", "common_y").agg(F.count("*").alias("met"))
+    enough_ = F.col("met") + F.least("common_x", "common_y") >= needed(F.col("n_x"), F.col("n_y"), percent)
+    return counted.where(enough_).select(F.col("class_x").alias("a"), F.col("class_y").alias("b"))
 
 
 def links(seen: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between classes that give the same components as all links would."""
     classes = seen.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    tokens = seen.where("n > 0").select("class", "n", F.posexplode("prefix").alias("at", "token")).select("token", "class", (F.col("n") * (1 << 31) + F.col("at")).alias("place"))
-    groups = tokens.groupBy("token").agg(F.min("class").alias("lead"), F.max("class").alias("last"), F.min_by("place", "class").alias("lead_place"))
+    tokens = seen.where("n > 0").select("doc_id", "class", "n", F.posexplode("prefix").alias("at", "token")).select("token", "class", "doc_id", (F.col("n") * (1 << 31) + F.col("at")).alias("place"))
+    doc = F.coalesce("doc_id", F.lit(_FIRST))
+    groups = tokens.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min_by("class", doc).alias("lead"), F.min_by("place", doc).alias("lead_place"))
     size_of = lambda c: F.shiftright(c, 31)
-    at = lambda c: F.col(c).bitwiseAND((1 << 31) - 1)
-    met = materialise(tokens.join(groups.where("lead < last"), "token").select("token", "class", "place", "lead", "lead_place"), "met")
+    met = materialise(tokens.join(groups.where("low < high"), "token").select("token", "class", "place", "lead", "lead_place"), "met")
 
-    star = met.where((F.col("class") != F.col("lead")) & possible(size_of("place"), at("place"), size_of("lead_place"), at("lead_place"), percent))
+    # all that could be near a leader are compared with it, hopeless ones too: what they lack is used later
+    star = met.where((F.col("class") != F.col("lead")) & similar_sizes(size_of("place"), size_of("lead_place"), percent))
     counted = star.select("lead", "class", size_of("place").alias("nx"), size_of("lead_place").alias("ny"), "token").distinct().groupBy("lead", "class", "nx", "ny").agg(F.count("*").alias("met"))
     near = counted.where(enough(F.col("nx"), F.col("ny"), F.col("met"), percent)).select(F.col("lead").alias("a"), F.col("class").alias("b"))
-    first = materialise(verified(materialise(near, "near"), classes, docs, size, percent), "links")
+    tried = materialise(compared(near, classes, docs, size, percent), "tried")
+    first = tried.where("linked").select("a", "b")
 
     roots = components(first)
-    placed = met.select("token", "class", "place").distinct().join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    placed = met.select("token", "class", "place", "lead").distinct().join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    open_ = materialise(placed.join(mixed, "token"), "open")
-    parts = open_.select("token", "root").distinct()
-    between = parts.withColumnRenamed("root", "ra").join(parts.withColumnRenamed("root", "rb"), "token").where("ra < rb")
-    a = open_.select("token", F.col("root").alias("ra"), F.col("class").alias("a"), F.col("place").alias("pa"))
-    b = open_.select("token", F.col("root").alias("rb"), F.col("class").alias("b"), F.col("place").alias("pb"))
-    pairs = between.join(a, ["token", "ra"]).join(b, ["token", "rb"]).where(possible(size_of("pa"), at("pa"), size_of("pb"), at("pb"), percent))
-    counted = pairs.select("a", "b", size_of("pa").alias("nx"), size_of("pb").alias("ny")).groupBy("a", "b", "nx", "ny").agg(F.count("*").alias("met"))
-    rest = counted.where(enough(F.col("nx"), F.col("ny"), F.col("met"), percent)).select("a", "b")
-    second = materialise(verified(materialise(rest, "rest"), classes, docs, size, percent), "links")
-    forget(met)
-    forget(open_)
+    overlap = tried.where("common IS NOT NULL").select(F.col("a").alias("lead"), F.col("b").alias("class"), "common")
+    own = F.when(F.col("class") == F.col("lead"), size_of("place"))
+    open_ = materialise(placed.join(mixed, "token").join(overlap, ["lead", "class"], "left").withColumn("common", F.coalesce("common", own)), "open")
+    more = pairs_through_prefixes(open_, percent).unionByName(pairs_beyond_leaders(tried, roots, percent))
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = materialise(compared(materialise(more, "more"), classes, docs, size, percent).where("linked").select("a", "b"), "links")
+    first = materialise(first, "links")
+    for used in (met, open_, tried):
+        forget(used)
     return first.unionByName(second)
 
 
