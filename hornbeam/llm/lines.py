@@ -2,10 +2,10 @@
 
 Documents meet through the hashes of lines they share. A line's first document
 (smallest id) stands for all that hold it, so a line that stands in a million
-documents makes a million pairs, not their square. Of a document's shared lines
-the rare ones vote: those in at most ``rare`` documents and, where it has none so
-rare, its rarest. Every pair found is aligned by patience diff on the line hashes,
-and common blocks of enough words are deleted from the later document.
+documents makes a million pairs, not their square. All of a document's shared lines
+vote, however many documents hold them. Every pair found is aligned by patience diff
+on the line hashes, and common blocks of enough words are deleted from the later
+document.
 """
 
 from __future__ import annotations
@@ -102,15 +102,21 @@ def line_hashes(text: Column) -> tuple[Column, Column]:
     return hashes, F.transform(bare, lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, " +"))))
 
 
-def removals(docs: DataFrame, rare: int = 20, min_words: int = 20) -> DataFrame:
-    """(key, gone): positions of the lines that go, for every document of (doc_id, text) that loses any."""
+def removals(docs: DataFrame, rare: int | None = None, min_words: int = 20) -> DataFrame:
+    """(key, gone): positions of the lines that go, for every document of (doc_id, text) that loses any.
+
+    With ``rare``, an approximation that misses passages: of a document's shared lines only those in at most
+    ``rare`` documents vote, or its rarest where it has none so rare.
+    """
     hashes, words = line_hashes(F.col("text"))
     lists = keyed(docs).select("key", hashes.alias("lines"), words.alias("words")).dropDuplicates(["key"])
     held = lists.select("key", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
     shared = held.groupBy("line").agg(F.count("*").alias("df"), F.min("key").alias("first")).where("df > 1")
     votes = held.join(shared, "line").where("key <> first")
-    rarest = votes.groupBy("key").agg(F.min("df").alias("least"))
-    pairs = votes.join(rarest, "key").where(F.col("df") <= F.greatest(F.col("least"), F.lit(rare))).select("key", "first").distinct()
+    if rare is not None:
+        rarest = votes.groupBy("key").agg(F.min("df").alias("least"))
+        votes = votes.join(rarest, "key").where(F.col("df") <= F.greatest(F.col("least"), F.lit(rare)))
+    pairs = votes.select("key", "first").distinct()
     firsts = lists.select(F.col("key").alias("first"), F.col("lines").alias("earlier"))
     both = pairs.join(firsts, "first").join(lists, "key").select(F.col("key.id").alias("id"), F.col("key.h").alias("h"), "earlier", "lines", "words")
 
@@ -124,12 +130,12 @@ def removals(docs: DataFrame, rare: int = 20, min_words: int = 20) -> DataFrame:
     return found.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")).select(F.struct("id", "h").alias("key"), "gone")
 
 
-def deduplicate_lines(docs: DataFrame, rare: int = 20, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate_lines(docs: DataFrame, rare: int | None = None, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, the text without the deleted lines, and n_lines and n_removed (lines with words).
 
     Null text: stays null, with no lines. A null id counts as the smallest. Repeated rows are one document
     and get the same result; of two texts under one id the smaller hash is the earlier. Empty table: no rows.
-    Added columns replace columns of the same names.
+    Added columns replace columns of the same names. ``rare`` as in ``removals``.
     """
     own = docs.withColumnsRenamed({c: f"{c}__own" for c in ("key", "gone", "n_lines", "n_removed") if c in docs.columns and c not in (id_col, text_col)})
     key = F.struct(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_FIRST)).alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("h"))

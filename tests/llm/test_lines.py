@@ -64,6 +64,23 @@ def test_against_a_plain_version(docs, seed):
     assert got == plain(rows, 3, 8)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_all_shared_lines_vote(docs, seed):
+    rng = random.Random(seed)
+    pool = [" ".join(f"l{k}w{j}" for j in range(rng.randint(1, 15))) for k in range(20)]
+    rows = [(d, "\n".join(rng.choice(pool) if rng.random() < 0.7 else f"own {d} {j}" for j in range(rng.randint(1, 10)))) for d in rng.sample(range(500), 80)]
+    got = {r.doc_id: r.text for r in deduplicate_lines(docs(rows), min_words=8).collect()}
+    assert got == plain(rows, len(rows), 8)
+
+
+def test_a_rare_line_shields_no_passage(docs):
+    passage = "\n".join(" ".join(f"p{k}w{j}" for j in range(20)) for k in range(3))
+    rows = [(1, "Chapter one\nown words of the first")] + [(d, f"own start {d}\n{passage}\nown end {d}") for d in range(2, 31)]
+    rows += [(31, f"Chapter one\n{passage}\nown end 31"), (32, f"own start 32\n{passage}")]
+    got = {r.doc_id: r.text for r in deduplicate_lines(docs(rows)).collect()}
+    assert got[2] == rows[1][1] and got[31] == "Chapter one\nown end 31" and got[32] == "own start 32"
+
+
 def test_query_keeps_first_copies(spark, sample):
     got = {r.doc_id: r for r in op10_lines(spark, DIR).collect()}
     first: dict[str, int] = {}
