@@ -30,6 +30,14 @@ def _side(low: bool, high: bool) -> int:
     return LOW if low else HIGH if high else NONE
 
 
+def variety(words: list[bytes], size: int = 2000) -> float:
+    """Mean share of distinct words in the text's consecutive windows of ``size`` words, weighted by their words.
+
+    Over the whole text the share falls with length, on clean prose too.
+    """
+    return sum(len(set(words[k : k + size])) for k in range(0, len(words), size)) / max(1, len(words))
+
+
 def votes(text: str) -> list[int]:
     """One vote per labeller; all abstain on a text without words, but the last, which votes low."""
     raw = text.encode("utf-8", "replace")
@@ -39,7 +47,7 @@ def votes(text: str) -> list[int]:
         return [NONE] * (len(LABELLERS) - 1) + [LOW]
     symbols = len(_SYMBOL.findall(raw)) / n
     upper = sum(map(str.isupper, text.split())) / n
-    kinds = len(set(words)) / n
+    kinds = variety(words)
     again = 1 - len(set(zip(words, words[1:], words[2:], words[3:], words[4:]))) / (n - 4) if n >= 20 else 0.0
     mean = sum(map(len, words)) / n
     ends = sum(w[-1:] in (b".", b"!", b"?", b",", b":", b";") for w in words) / n
@@ -142,7 +150,7 @@ def features(text: str, vote: list[int]) -> tuple[np.ndarray, np.ndarray]:
     for k, x in enumerate(vote):
         h = zlib.crc32(b"vote:%d:%d" % (k, x)) % BUCKETS
         out[h] = out.get(h, 0.0) + 0.5
-    for name, x in (("kinds", len(set(words)) / total), ("size", min(1.0, len(words) / 200))):
+    for name, x in (("kinds", variety(words)), ("size", min(1.0, len(words) / 200))):
         h = zlib.crc32(f"{name}:{int(5 * x)}".encode()) % BUCKETS
         out[h] = out.get(h, 0.0) + 0.5
     return np.fromiter(out.keys(), np.int32, len(out)), np.fromiter(out.values(), np.float32, len(out))

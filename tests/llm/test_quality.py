@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from hornbeam.llm.quality import LABELLERS, LabelModel, classify, pattern_of, votes, votes_of
+from hornbeam.llm.quality import LABELLERS, LabelModel, classify, pattern_of, variety, votes, votes_of
 from hornbeam.llm.queries import op1_quality
 
 DIR = "/root/testdata/sf0.01"
@@ -13,6 +14,25 @@ def test_agrees_with_the_labels(spark):
     assert sum(good) / len(good) >= 0.97 and 1 - sum(bad) / len(bad) >= 0.9
 
 
+def test_variety_does_not_fall_with_length():
+    rng = np.random.default_rng(0)
+    draw = lambda n: [b"w%d" % k for k in rng.zipf(1.3, n) % 5000]
+    assert abs(variety(draw(4000)) - variety(draw(400_000))) < 0.03
+    assert variety([]) == 0 and variety([b"a", b"b", b"a"]) == 2 / 3 and variety([b"a", b"b"] * 3000) < 0.01
+
+
+@pytest.mark.parametrize("lang", ["en", "de"])
+def test_a_clean_document_of_many_words_is_kept(spark, lang):
+    large = DIR.replace("sf0.01", "sf0.1")
+    clean = spark.read.parquet(f"{large}/labels.parquet").where("quality = 1").select("doc_id")
+    texts = [r.text for r in spark.read.parquet(f"{large}/documents.parquet").where(f"lang = '{lang}'").join(clean, "doc_id").select("text").distinct().orderBy("text").collect()]
+    text = "\n".join(texts)
+    assert len(text.split()) >= 200_000
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, text)], "doc_id long, text string"))
+    got = classify(docs).where("doc_id = -1").collect()[0].quality
+    assert got.kept and got.label > 0.5
+
+
 def test_patterns_round_trip():
     for text in ("", "one", "the plain words of a text " * 9, "Und " * 90, "A!! B!! C!!", "x | y | z | w | v | u"):
         assert votes_of(pattern_of(votes(text))) == votes(text) and len(votes(text)) == len(LABELLERS)
