@@ -3,8 +3,10 @@
 Documents meet through the hashes of lines they share. A line's first document
 (smallest id) stands for all that hold it, so a line that stands in a million
 documents makes a million pairs, not their square. All of a document's shared lines
-vote, however many documents hold them. Every pair found is aligned by patience diff
-on the line hashes, and common blocks of enough words are deleted from the later
+vote, however many documents hold them, and so do its shortest runs of lines that
+have enough words for a block: a block's first holder is met though each of its
+lines stands in other, earlier documents too. Every pair found is aligned by patience
+diff on the line hashes, and common blocks of enough words are deleted from the later
 document.
 """
 
@@ -13,7 +15,9 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +106,20 @@ def line_hashes(text: Column) -> tuple[Column, Column]:
     return hashes, F.transform(bare, lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, " +"))))
 
 
+def runs(lines: list[int], words: list[int], min_words: int) -> list[int]:
+    """Hashes of the shortest runs of at least two lines with words that make a block, from each line on and up to each line.
+
+    Every line of a common block stands in such a run within the block.
+    """
+    full = [k for k, x in enumerate(lines) if x]
+    ends = np.concatenate(([0], np.cumsum([words[k] for k in full], dtype=np.int64)))
+    to = np.searchsorted(ends, ends[:-1] + min_words)  # a run from line k ends before line to[k]
+    since = np.searchsorted(ends, ends[1:] - min_words, "right") - 1  # a run up to line k begins at line since[k]
+    spans = {(k, int(m)) for k, m in enumerate(to) if m < len(ends)} | {(int(m), k + 1) for k, m in enumerate(since) if m >= 0}
+    data = np.array([lines[k] for k in full], np.int64)
+    return sorted({xxhash.xxh3_64_intdigest(data[a:b].tobytes()) - (1 << 63) for a, b in spans if b - a > 1})
+
+
 def removals(docs: DataFrame, rare: int | None = None, min_words: int = 20) -> DataFrame:
     """(key, gone): positions of the lines that go, for every document of (doc_id, text) that loses any.
 
@@ -116,7 +134,19 @@ def removals(docs: DataFrame, rare: int | None = None, min_words: int = 20) -> D
     if rare is not None:
         rarest = votes.groupBy("key").agg(F.min("df").alias("least"))
         votes = votes.join(rarest, "key").where(F.col("df") <= F.greatest(F.col("least"), F.lit(rare)))
-    pairs = votes.select("key", "first").distinct()
+        pairs = votes.select("key", "first").distinct()
+    else:
+
+        def blocks(batches):
+            for pdf in batches:
+                found = [runs(x, w, min_words) for x, w in zip(pdf["lines"], pdf["words"])]
+                yield pd.DataFrame({"id": pdf["id"], "h": pdf["h"], "run": found}).explode("run").dropna(subset="run").astype({"run": "int64"})
+
+        held_runs = lists.select(F.col("key.id").alias("id"), F.col("key.h").alias("h"), "lines", "words").mapInPandas(blocks, "id long, h long, run long")
+        held_runs = held_runs.select(F.struct("id", "h").alias("key"), "run")
+        first_runs = held_runs.groupBy("run").agg(F.count("*").alias("df"), F.min("key").alias("first")).where("df > 1")
+        met = held_runs.join(first_runs, "run").where("key <> first")
+        pairs = votes.select("key", "first").union(met.select("key", "first")).distinct()
     firsts = lists.select(F.col("key").alias("first"), F.col("lines").alias("earlier"))
     both = pairs.join(firsts, "first").join(lists, "key").select(F.col("key.id").alias("id"), F.col("key.h").alias("h"), "earlier", "lines", "words")
 

@@ -34,7 +34,15 @@ def test_blocks():
     assert common_blocks([1, 0, 2], [8, 1, 0, 2], [10, 10, 0, 10], 20) == [1, 3]
 
 
-def plain(rows, rare, min_words):
+def blocks_of(lines, min_words):
+    """Shortest runs of two lines or more with enough words, from each line on and up to each line."""
+    full = [x.strip() for x in lines if x.strip()]
+    enough = lambda a, b: sum(len(x.split()) for x in full[a:b]) >= min_words
+    spans = [(a, b) for a in range(len(full)) for b in range(a + 2, len(full) + 1) if enough(a, b)]
+    return {tuple(full[a:b]) for a, b in spans if not enough(a, b - 1) or not enough(a + 1, b)}
+
+
+def plain(rows, rare, min_words, with_blocks=False):
     """Texts after alignment with the first document of each shared line that votes, found by looking at all."""
     docs = [(d, (t or "").split("\n")) for d, t in rows]
     strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
@@ -42,12 +50,17 @@ def plain(rows, rare, min_words):
     for k, (_, lines) in enumerate(docs):
         for x in {strip(x) for x in lines} - {""}:
             holders.setdefault(x, []).append(k)
+    first_of: dict[tuple, int] = {}
+    for k in sorted(range(len(docs)), key=lambda k: docs[k][0]) if with_blocks else ():
+        for x in blocks_of(docs[k][1], min_words):
+            first_of.setdefault(x, k)
     out = {}
     for k, (d, lines) in enumerate(docs):
         shared = [x for x in {strip(x) for x in lines} - {""} if len(holders[x]) > 1 and min(docs[h][0] for h in holders[x]) != d]
         least = min((len(holders[x]) for x in shared), default=0)
         gone = set()
-        for h in {min(holders[x], key=lambda h: docs[h][0]) for x in shared if len(holders[x]) <= max(least, rare)}:
+        meets = {min(holders[x], key=lambda h: docs[h][0]) for x in shared if len(holders[x]) <= max(least, rare)}
+        for h in meets | ({first_of[x] for x in blocks_of(lines, min_words)} - {k} if with_blocks else set()):
             code = lambda x: hash(strip(x)) if strip(x) else 0
             gone |= set(common_blocks([code(x) for x in docs[h][1]], [code(x) for x in lines], [len(strip(x).split()) for x in lines], min_words))
         out[d] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
@@ -70,7 +83,15 @@ def test_all_shared_lines_vote(docs, seed):
     pool = [" ".join(f"l{k}w{j}" for j in range(rng.randint(1, 15))) for k in range(20)]
     rows = [(d, "\n".join(rng.choice(pool) if rng.random() < 0.7 else f"own {d} {j}" for j in range(rng.randint(1, 10)))) for d in rng.sample(range(500), 80)]
     got = {r.doc_id: r.text for r in deduplicate_lines(docs(rows), min_words=8).collect()}
-    assert got == plain(rows, len(rows), 8)
+    assert got == plain(rows, len(rows), 8, with_blocks=True)
+
+
+def test_a_block_of_lines_that_stand_elsewhere(docs):
+    block = [" ".join(f"b{k}w{j}" for j in range(8)) for k in range(4)]
+    rows = [(k, f"{x}\nown line of {k}") for k, x in enumerate(block)]
+    rows += [(10, "\n".join(["own of ten", *block])), (11, "\n".join(["own of eleven", *block[:2], "", *block[2:], "end"]))]
+    got = {r.doc_id: r.text for r in deduplicate_lines(docs(rows)).collect()}
+    assert got == {**dict(rows), 11: "own of eleven\n\nend"}
 
 
 def test_a_rare_line_shields_no_passage(docs):
