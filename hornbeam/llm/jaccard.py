@@ -96,7 +96,7 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), class (hash of the set), prefix: rarest shingles first."""
+    """doc_id, h (hash of the text), n (set size), class (hash of the set), prefix: rarest shingles first."""
     order = docs.sparkSession.sparkContext.broadcast(sketch(docs, size))
 
     def run(batches):
@@ -110,9 +110,9 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 first.append(s[np.lexsort((s, order.value[s >> np.uint64(64 - SKETCH_BITS)]))[:many]].view(np.int64))
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first) if first else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(kind, pa.int64()), lists], ["doc_id", "n", "class", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(kind, pa.int64()), lists], ["doc_id", "h", "n", "class", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class long, prefix array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, n long, class long, prefix array<long>")
 
 
 def similar_sizes(nx: Column, ny: Column, percent: int) -> Column:
@@ -272,6 +272,14 @@ def links(seen: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFram
     return first.unionByName(second)
 
 
+def rooted(slim: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, h, n and root (what stands for the component; null without words) of every row of (doc_id, text)."""
+    seen = materialise(prefixes(slim, size, percent), "prefixes")
+    roots = components(links(seen, slim, size, percent))
+    placed = seen.select("doc_id", "h", "n", "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    return placed.select("doc_id", "h", "n", F.coalesce("root", "class").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
@@ -279,19 +287,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     an empty set and is linked with nothing; a null id is taken as it is and never smallest unless alone;
     repeated rows are linked with each other; an empty table gives no rows.
     """
-    slim = identified(docs, id_col, text_col)
-    seen = materialise(prefixes(slim, size, percent), "prefixes")
-    found = links(seen, slim, size, percent)
-    roots = components(found)
-    placed = seen.select("doc_id", "n", "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    placed = placed.select("doc_id", "n", F.coalesce("root", "class").alias("root"))
+    placed = rooted(identified(docs, id_col, text_col), size, percent)
     smallest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that are not the smallest of their component; of rows with equal id and text one stays."""
-    found = near_duplicates(docs, size, percent, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-    return kept.withColumn("__text", F.xxhash64(f"`{text_col}`")).dropDuplicates([id_col, "__text"]).drop("__text")
+    """``docs`` with one document of each component, the smallest by id (null last), then hash of the text.
+
+    Documents without words all stay; of rows with equal id and text one stays.
+    """
+    placed = rooted(identified(docs, id_col, text_col), size, percent).where("root IS NOT NULL")
+    placed = placed.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h"))
+    first = placed.groupBy("root").agg(F.min("place").alias("first"))
+    gone = placed.join(first, "root").where("place <> first").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h")).distinct()
+    own = docs.withColumn("__text", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    kept = own.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__gone")) & (F.col("__text") == F.col("__h")), "left_anti")
+    return kept.dropDuplicates([id_col, "__text"]).drop("__text")

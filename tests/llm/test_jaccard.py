@@ -91,6 +91,13 @@ def test_odd_rows(odd, docs):
     assert sorted(r.doc_id for r in one_of_each(docs(rows)).collect()) == [3, 11, 13, 14]
 
 
+def test_one_of_each_with_repeated_ids(docs):
+    twin, alone, near = ("one text of words that stands twice", "quite another text that stands here alone", "near " + " ".join(f"w{k}" for k in range(60)))
+    rows = [(3, twin), (5, twin), (5, alone), (6, near), (6, near + " end"), (None, twin), (7, ""), (8, None)]
+    got = sorted([(r.doc_id, r.text) for r in one_of_each(docs(rows)).collect()], key=repr)
+    assert [x for x in got if x[0] != 6] == sorted([(3, twin), (5, alone), (7, ""), (8, None)], key=repr) and [x[0] for x in got].count(6) == 1
+
+
 def test_sets_and_overlap():
     texts = ["a b c d e f a b c d e f", None, "x", "A B c d e f", ""]
     assert [len(s) for s in shingle_sets(texts)] == [len(s) for _, s in plain_sets(enumerate(texts))]
