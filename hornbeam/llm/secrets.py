@@ -230,8 +230,19 @@ def training_rows(texts: list[str], around: int = 15) -> list[tuple[np.ndarray,
     return out
 
 
+def merged(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches, sorted, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(places):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def find(text: str | None, field: Field) -> list[tuple[str, int, int]]:
-    """All spans by start, then kind as listed: the patterns', then the field's that touch none of them."""
+    """All spans by start, then kind as listed: the patterns', and the field's that reach beyond them."""
     if not text:
         return []
     numbers = numbers_of(text)
@@ -239,13 +250,13 @@ def find(text: str | None, field: Field) -> list[tuple[str, int, int]]:
     if len(numbers):
         labels = field.decode(features(numbers, file_feature(numbers)))
         if labels.any():
-            places, taken = words_with_places(text), sorted((a, b) for _, a, b in spans)
+            places, taken = words_with_places(text), merged([(a, b) for _, a, b in spans])
             for k in np.flatnonzero(labels == BEGIN):
                 last = k
                 while last + 1 < len(labels) and labels[last + 1] == INSIDE:
                     last += 1
                 whole = [m.span() for m in _RUN.finditer(text, places[k][0], places[last][1])]
-                if whole and not any(a < whole[-1][1] and b > whole[0][0] for a, b in taken):
+                if whole and not any(a <= whole[0][0] and whole[-1][1] <= b for a, b in taken):
                     spans.append(("crf", whole[0][0], whole[-1][1]))
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

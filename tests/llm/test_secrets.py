@@ -66,6 +66,18 @@ def test_the_field_adds_what_the_patterns_miss():
     assert S.find("the plain words of a text 478538059239113 +1 (499) 555-6503 that.92@mail2.example.com go on", f) == []
 
 
+def test_the_field_reaches_beyond_the_patterns():
+    f = field()
+    token = "Zq8xW3nB7vK1-0123456789abcdef-mT5yR9pL2dF6"
+    text = f'some plain words then token -> "{token}" and more words follow here'
+    spans = S.find(text, f)
+    assert [k for k, _, _ in spans] == ["crf", "hex"] and plain_base(text) == spans[1:]
+    assert [text[a:b] for _, a, b in spans] == [token, "0123456789abcdef"]
+    inside = f'some plain words then token = "{KEY}" and more words follow here'
+    assert S.find(inside, f) == plain_base(inside)
+    assert S.merged([(5, 9), (0, 3), (3, 4), (8, 12)]) == [(0, 4), (5, 12)]
+
+
 def test_query(spark, sample):
     want = {r.doc_id: plain_base(r.text or "") for r in sample.collect()}
     got = {r.doc_id: r for r in op2_secrets(spark, DIR).collect()}
