@@ -112,3 +112,16 @@ def rows_of(batches: Iterable[pa.RecordBatch], most: int = 512) -> Iterable[pa.R
     for batch in batches:
         for at in range(0, batch.num_rows, most):
             yield batch.slice(at, most)
+
+
+def together(batches: Iterable[pa.RecordBatch], most: int = 16 << 20) -> Iterable[pa.Table]:
+    """The same rows in tables of at least ``most`` bytes (but the last), for work that is cheaper on many."""
+    waiting, size = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting)

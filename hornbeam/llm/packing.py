@@ -15,40 +15,86 @@ per task and length, so no length, however common, meets in one task.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from bisect import bisect_left, insort
 from collections import defaultdict
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import identified, materialise, remembers, rows_of, working
+from .common import identified, materialise, remembers, together, working
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
 #: Letters (lower case) and digits below U+0180, and the pre-tokeniser's units in such texts (fixed values).
 _LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+BLANK = re.compile(r"[\x20\x09-\x0d]")
+#: The pre-tokeniser's pattern as vocabulary files declare it (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 UNIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\x09-\x0d\x20\x85\xa0{_LETTERS}{_DIGITS}]+")
 
 
+def gathered(ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``ids`` that begin and are as long as given, one after the other, and where each ends."""
+    ends = np.cumsum(size)
+    at = np.repeat(begin - (ends - size), size)
+    at += np.arange(len(at))
+    return ids[at], ends
+
+
+class Remembered:
+    """String -> its ids, in arrays: what is new is learnt, and all is forgotten beyond a bound."""
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int):
+        self.learn, self.most = learn, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.begin = self.size = np.empty(0, np.int64)
+        self.ids = np.empty(0, "<u4")
+
+    def of(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of each of some different strings, where its ids begin in ``self.ids``, and how many they are."""
+        if len(self.words) > self.most:
+            self.clear()
+        at = pc.index_in(names, value_set=self.words)
+        if at.null_count:
+            new = names.filter(at.is_null())
+            ids, size = self.learn(new.to_pylist())
+            self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(size) - size))
+            self.size, self.ids = np.concatenate((self.size, size)), np.concatenate((self.ids, ids))
+            self.words = pa.concat_arrays([self.words, new])
+        places = np.array(at.fill_null(-1))
+        places[places < 0] = np.arange(len(self.words) - at.null_count, len(self.words))
+        return self.begin[places], self.size[places]
+
+
 class WordIds:
     """Token ids of blank-separated chunks by the tokenizers library, remembered up to a bound.
 
-    The vocabulary drops white space, so a text's ids are those of its chunks in turn. Texts whose
-    characters have one-to-one lower case and no combining forms are lower-cased and split into the
-    pre-tokeniser's units here; a tokenizer without those two steps then encodes each unit once.
+    The vocabulary drops white space, so a text's ids are those of its chunks in turn. The chunks of many texts
+    are numbered by Arrow, so that each different one is looked at once; the ids then fall into place by array
+    arithmetic. Texts whose characters have one-to-one lower case and no combining forms are lower-cased and
+    split into the pre-tokeniser's units here; a tokenizer without those two steps encodes each unit once.
     """
 
     odd = re.compile("[\u0130\u0180-\U0010ffff]")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        check_declared(self.tokenizer)
         for t in (self.tokenizer, self.bare):
             t.no_truncation()
             t.no_padding()
@@ -60,62 +106,95 @@ class WordIds:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.most = most
-        self.known: dict[bytes, bytes] = {}
+        self.units, self.chunks = Remembered(self.learn_units, most), Remembered(self.learn_chunks, most)
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def keep(self, chunks: list[bytes], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
-        raw = ids.tobytes()
-        for c, b, e in zip(chunks, begins.tolist(), ends.tolist()):
-            self.known[c] = raw[4 * b : 4 * e]
-
-    def learn_units(self, units: list[bytes]) -> None:
-        """Units of the pre-tokeniser, already in lower case: each gives one token with a word end, its last."""
-        for at in range(0, len(units), 1024):
-            part = units[at : at + 1024]
-            ids = np.array(self.bare.encode(b" ".join(part).decode(), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            self.keep(part, ids, np.append(0, ends[:-1]), ends)
-
-    def learn_lowered(self, chunks: list[bytes]) -> None:
-        """Chunks of lowered texts: their units are encoded once, however they are combined."""
-        units, joined = {c for c in chunks if c.isalpha()}, {}
-        for c in chunks:
-            if c not in units:
-                joined[c] = us = [u.encode() for u in UNIT.findall(c.decode())]
-                units.update(us)
-        self.learn_units([u for u in units if u not in self.known])
-        for c, us in joined.items():
-            self.known[c] = b"".join([self.known[u] for u in us])
-
-    def learn_chunks(self, chunks: list[str]) -> None:
-        """Any other chunks; a special token between them shows where each ends."""
-        easy = [c for c in chunks if not any(s in c for s in self.specials)]
-        for at in range(0, len(easy), 512):
-            part = easy[at : at + 512]
+    def learn_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers of units in lower case: each but an empty one gives one token with a word end, its last."""
+        full = [u for u in units if u]
+        parts = [self.bare.encode_batch_fast([" ".join(full[at : at + 512])], add_special_tokens=False)[0].ids for at in range(0, len(full), 512)]
+        ids = np.concatenate([np.empty(0, "<u4"), *[np.array(p, "<u4") for p in parts]])
+        size = np.zeros(len(units), np.int64)
+        size[np.fromiter(map(bool, units), bool, len(units))] = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        return ids, size
+
+    def learn_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any chunks; a special token between them shows where each ends."""
+        out: list[np.ndarray] = []
+        for at in range(0, len(chunks), 512):
+            part = chunks[at : at + 512]
+            if any(s in c for c in part for s in self.specials):
+                out += map(self.plain, part)
+                continue
             ids = self.plain(self.mark.join(part))
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            self.keep([c.encode() for c in part], ids, np.append(0, ends[:-1] + 1), ends)
-        for c in set(chunks).difference(easy):
-            self.known[c.encode()] = self.plain(c).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        easy = [bool(t) and not self.odd.search(t) and not any(s in t for s in self.specials) for t in texts]
-        split = [(t.lower() if e else t).encode("utf-8", "replace").split() if t else [] for t, e in zip(texts, easy)]
-        if len(self.known) > self.most:
-            self.known.clear()
-        find = self.known.get
-        parts = [list(map(find, chunks)) for chunks in split]
-        new: tuple[set[bytes], set[bytes]] = (set(), set())
-        for chunks, ids, e in zip(split, parts, easy):
-            if None in ids:
-                new[e].update(c for c, i in zip(chunks, ids) if i is None)
-        self.learn_lowered(list(new[True]))
-        self.learn_chunks([c.decode() for c in new[False] if c not in self.known])
-        return [b"".join([i if i is not None else self.known[c] for c, i in zip(chunks, ids)] if None in ids else ids) for chunks, ids in zip(split, parts)]
+            cuts = np.flatnonzero(ids == self.mark_id)
+            out += [ids[a:b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(ids)])]
+        return np.concatenate([np.empty(0, "<u4"), *out]), np.fromiter(map(len, out), np.int64, len(out))
+
+    def encode_together(self, texts: list[str], lowered: bool) -> list[bytes]:
+        """Ids of texts that are all lowered, or all not."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        chunks = lists.flatten().dictionary_encode()  # a text that begins or ends with a blank has an empty chunk there
+        if lowered:
+            apart = pc.ascii_split_whitespace(pc.replace_substring_regex(chunks.dictionary, f"[\x85\xa0]+|({UNIT.pattern})", r"\1 "))
+            units = apart.flatten().dictionary_encode()
+            begin, size = self.units.of(units.dictionary)
+            index = units.indices.to_numpy()
+            ids, ends = gathered(self.units.ids, begin[index], size[index])
+            edges = np.append(0, ends)[apart.offsets.to_numpy()]
+            begin, size = edges[:-1], np.diff(edges)
+        else:
+            begin, size = self.chunks.of(chunks.dictionary)
+            ids = self.chunks.ids
+        index = chunks.indices.to_numpy()
+        ids, ends = gathered(ids, begin[index], size[index])
+        raw, edges = ids.tobytes(), (4 * np.append(0, ends))[lists.offsets.to_numpy()].tolist()
+        return [raw[a:b] for a, b in zip(edges, edges[1:])]
+
+    def encode(self, texts: list[str | None], together: int = 1 << 24) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, about ``together`` characters at a time."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting: dict[bool, list[tuple[int, str]]] = {True: [], False: []}
+        size = {True: 0, False: 0}
+
+        def done(easy: bool) -> None:
+            for (k, _), ids in zip(waiting[easy], self.encode_together([t for _, t in waiting[easy]], easy)):
+                out[k].append(ids)
+            waiting[easy], size[easy] = [], 0
+
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            easy = not self.odd.search(text) and not any(s in text for s in self.specials)
+            for part in cut_at_blanks(text.lower() if easy else text.encode("utf-8", "replace").decode(), together):
+                waiting[easy].append((k, part))
+                size[easy] += len(part)
+                if size[easy] >= together:
+                    done(easy)
+        for easy in (True, False):
+            if waiting[easy]:
+                done(easy)
+        return [b"".join(parts) for parts in out]
+
+
+def cut_at_blanks(text: str, most: int) -> list[str]:
+    """A text in parts of about ``most`` characters, each but the last ending before a blank."""
+    out, at = [], 0
+    while len(text) - at > most and (blank := BLANK.search(text, at + most)):
+        out.append(text[at : blank.start()])
+        at = blank.start()
+    return [*out, text[at:]]
+
+
+def check_declared(tokenizer) -> None:
+    """Refuse vocabularies whose declared steps are not those that this module takes over."""
+    declared = json.loads(tokenizer.to_str())
+    steps = [p["type"] for p in (declared["normalizer"] or {}).get("normalizers", [])]
+    first, *_ = (declared["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    if steps != ["NFC", "Replace", "Lowercase"] or first.get("pattern") != {"Regex": PATTERN} or declared["model"].get("end_of_word_suffix") != "</w>":
+        raise ValueError("a vocabulary with other steps than NFC, blanks, lower case, words: it would be encoded wrongly")
 
 
 @lru_cache(maxsize=1)
@@ -136,7 +215,7 @@ def tokenised(docs: DataFrame, vocab: str, capacity: int = 4096, end_id: int = 1
     def run(batches):
         working("packing")
         words = word_ids(vocab)
-        for batch in rows_of(batches, 256):
+        for batch in together(batches):
             out = []
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist())):
                 ids += end_id.to_bytes(4, "little")
