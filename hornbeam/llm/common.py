@@ -114,7 +114,7 @@ def rows_of(batches: Iterable[pa.RecordBatch], most: int = 512) -> Iterable[pa.R
             yield batch.slice(at, most)
 
 
-def together(batches: Iterable[pa.RecordBatch], most: int = 16 << 20) -> Iterable[pa.Table]:
+def together(batches: Iterable[pa.RecordBatch], most: int = 8 << 20) -> Iterable[pa.Table]:
     """The same rows in tables of at least ``most`` bytes (but the last), for work that is cheaper on many."""
     waiting, size = [], 0
     for batch in batches:

@@ -153,7 +153,7 @@ class WordIds:
         raw, edges = ids.tobytes(), (4 * np.append(0, ends))[lists.offsets.to_numpy()].tolist()
         return [raw[a:b] for a, b in zip(edges, edges[1:])]
 
-    def encode(self, texts: list[str | None], together: int = 1 << 24) -> list[bytes]:
+    def encode(self, texts: list[str | None], together: int = 1 << 23) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, about ``together`` characters at a time."""
         out: list[list[bytes]] = [[] for _ in texts]
         waiting: dict[bool, list[tuple[int, str]]] = {True: [], False: []}
