@@ -47,6 +47,13 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`") for c in more])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def split_words(text: str | None) -> list[bytes]:
     """``bytes.split`` without arguments splits at exactly the blanks of WORD_PATTERN."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from .common import forget, materialise
 
 
-def _digest(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
-    return r["n"], r["h"] or 0
+def _digest(edges: DataFrame) -> tuple:
+    """Number of edges, and sum and exclusive-or of their 64-bit hashes at full width."""
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count("*"), F.sum(h.cast("decimal(20,0)")), F.bit_xor(h)).first())
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -22,10 +22,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, forget, identified, materialise, mix, remembers, rows_of, windows, working
+from .common import WordHashes, forget, fresh, identified, materialise, mix, remembers, rows_of, windows, working
 from .graph import components
 from .membership import maybe_among
 
@@ -65,7 +65,7 @@ def hash_of(s: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
 
 
-def least_overlap(n: Column | int, percent: int):
+def least_overlap(n: int, percent: int) -> int:
     """The fewest common shingles of a set of n with any set that reaches the threshold."""
     return (percent * n + 99) // 100
 
@@ -224,21 +224,25 @@ def pairs_through_prefixes(open_: DataFrame, percent: int) -> DataFrame:
 def pairs_beyond_leaders(tried: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes in different components, compared with one leader, that share enough shingles which it has not.
 
-    Of such a pair at most the smaller of the two overlaps with the leader is common inside it.
+    Of such a pair at most the smaller of the two overlaps with the leader is common inside it, so a class with
+    ``common`` shingles in the leader must share ``least_overlap - common`` beyond it, with whatever partner. Its
+    remainder is therefore a set to be joined in its turn: ordered rare-first among the classes that were compared
+    with this leader, and met on a prefix of that order. Shingles that no class of another component has take no part.
     """
     known = tried.where("common IS NOT NULL").join(roots.withColumnRenamed("node", "b"), "b", "left")
     rows = known.select(F.col("a").alias("lead"), F.col("b").alias("class"), F.coalesce("root", "b").alias("root"), F.col("nb").alias("n"), "common", F.explode("beyond").alias("token"))
-    mixed = rows.groupBy("lead", "token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("lead", "token")
-    rows = rows.join(mixed, ["lead", "token"])
-    x = rows.select("lead", "token", *[F.col(c).alias(f"{c}_x") for c in ("class", "root", "n", "common")])
-    y = rows.select("lead", "token", *[F.col(c).alias(f"{c}_y") for c in ("class", "root", "n", "common")])
-    # inside the leader at most the smaller overlap is common, beyond it at most the smaller remainder
-    most = F.least("common_x", "common_y") + F.least(F.col("n_x") - F.col("common_x"), F.col("n_y") - F.col("common_y"))
+    mixed = rows.groupBy("lead", "token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("lead", "token", "df")
+    own = Window.partitionBy("lead", "class")
+    rows = rows.join(mixed, ["lead", "token"]).withColumns({"at": F.row_number().over(own.orderBy("df", "token")), "size": F.count("*").over(own)})
+    rows = rows.withColumn("share", F.greatest(F.lit(1), F.expr(f"({percent} * n + 99) div 100") - F.col("common")))
+    rows = rows.where((F.col("size") >= F.col("share")) & (F.col("at") <= F.col("size") - F.col("share") + 1))
+    x, y = (rows.select("lead", "token", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "root", "n", "common", "at", "size")]) for side in "xy")
+    # positional filter: at the first shingle that two remainders share, all others they share come later in both;
+    # rows of later ones may fail it, but the first row of a pair that has enough passes
+    most = F.least("common_x", "common_y") + 1 + F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y"))
     hope = similar_sizes(F.col("n_x"), F.col("n_y"), percent) & (most >= needed(F.col("n_x"), F.col("n_y"), percent))
     met = x.join(y, ["lead", "token"]).where((F.col("root_x") < F.col("root_y")) & hope)
-    counted = met.groupBy("lead", "class_x", "class_y", "n_x", "n_y", "common_x", "common_y").agg(F.count("*").alias("met"))
-    enough_ = F.col("met") + F.least("common_x", "common_y") >= needed(F.col("n_x"), F.col("n_y"), percent)
-    return counted.where(enough_).select(F.col("class_x").alias("a"), F.col("class_y").alias("b"))
+    return met.select(F.col("class_x").alias("a"), F.col("class_y").alias("b")).distinct()
 
 
 def links(seen: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -285,7 +289,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     Two documents link if 100 * common >= ``percent`` * union of their shingle sets. A null or empty text has
     an empty set and is linked with nothing; a null id is taken as it is and never smallest unless alone;
-    repeated rows are linked with each other; an empty table gives no rows.
+    repeated rows are linked with each other; an empty table gives no rows. Texts are taken whole, however long:
+    a task holds the hashes of a batch of texts. Of shingles equally rare the one with the smaller hash comes
+    first, and of documents with equal ids any may lead, which changes no component. Other columns are not read.
     """
     placed = rooted(identified(docs, id_col, text_col), size, percent)
     smallest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -295,12 +301,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, the smallest by id (null last), then hash of the text.
 
-    Documents without words all stay; of rows with equal id and text one stays.
+    Documents without words (null and empty texts among them) all stay; of rows with equal id and text one stays.
+    All columns of ``docs`` come back under their names. An empty table gives no rows.
     """
     placed = rooted(identified(docs, id_col, text_col), size, percent).where("root IS NOT NULL")
     placed = placed.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h"))
     first = placed.groupBy("root").agg(F.min("place").alias("first"))
     gone = placed.join(first, "root").where("place <> first").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h")).distinct()
-    own = docs.withColumn("__text", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
-    kept = own.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__gone")) & (F.col("__text") == F.col("__h")), "left_anti")
-    return kept.dropDuplicates([id_col, "__text"]).drop("__text")
+    text = fresh(docs, "text_hash")
+    own = docs.withColumn(text, F.xxhash64(F.col(f"`{text_col}`").cast("string"))).alias("own")
+    kept = own.join(gone, F.col(f"own.`{id_col}`").cast("long").eqNullSafe(F.col("__gone")) & (F.col(f"own.{text}") == F.col("__h")), "left_anti")
+    return kept.dropDuplicates([id_col, text]).drop(text)
