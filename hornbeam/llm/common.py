@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import discard, new_path
@@ -132,3 +132,29 @@ def together(batches: Iterable[pa.RecordBatch], most: int = 8 << 20) -> Iterable
             waiting, size = [], 0
     if waiting:
         yield pa.Table.from_batches(waiting)
+
+
+_SLOTS, _SALTS = 1 << 16, 32
+
+
+def _slot(key: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(_SLOTS))
+
+
+def hot_slots(rows: DataFrame, key: str | list[str]) -> list[int]:
+    """Slots of the key's hash that hold far more rows than most: 8 times the mean and 4096. That is at most 8,192."""
+    key = [key] if isinstance(key, str) else key
+    most = 8 * rows.count() / _SLOTS + 4096
+    counts = rows.groupBy(_slot(key).alias("slot")).agg(F.count("*").alias("n"))
+    return sorted(r["slot"] for r in counts.where(F.col("n") > most).collect())
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str | list[str], hot: list[int]) -> DataFrame:
+    """Inner join of ``many`` rows with the ``one`` of their key; rows of hot slots are dealt over several tasks."""
+    key = [key] if isinstance(key, str) else key
+    if not hot:
+        return many.join(one, key)
+    is_hot = _slot(key).isin(hot)
+    salted = many.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*many.columns, F.lit(1)), F.lit(_SALTS))).otherwise(0).cast("int"))
+    copies = one.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(copies, [*key, "__salt"]).drop("__salt")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, forget, fresh, identified, materialise, mix, remembers, rows_of, windows, working
+from .common import WordHashes, forget, fresh, hot_slots, identified, materialise, mix, remembers, rows_of, spread_join, windows, working
 from .graph import components
 from .membership import maybe_among
 
@@ -280,8 +280,11 @@ def rooted(slim: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, h, n and root (what stands for the component; null without words) of every row of (doc_id, text)."""
     seen = materialise(prefixes(slim, size, percent), "prefixes")
     roots = components(links(seen, slim, size, percent))
-    placed = seen.select("doc_id", "h", "n", "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    return placed.select("doc_id", "h", "n", F.coalesce("root", "class").alias("root"))
+    rows = seen.select("doc_id", "h", "n", "class")
+    placed = rows.join(roots.withColumnRenamed("node", "class"), "class", "left")
+    out = materialise(placed.select("doc_id", "h", "n", F.coalesce("root", "class").alias("root")), "rooted")
+    forget(seen)
+    return out
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,21 +297,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     first, and of documents with equal ids any may lead, which changes no component. Other columns are not read.
     """
     placed = rooted(identified(docs, id_col, text_col), size, percent)
-    smallest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    grouped = placed.where("root IS NOT NULL")
+    smallest = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = spread_join(grouped, smallest, "root", hot_slots(grouped, "root")).select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = placed.where("root IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, the smallest by id (null last), then hash of the text.
 
-    Documents without words (null and empty texts among them) all stay; of rows with equal id and text one stays.
+    Documents without words (null and empty texts among them) stay; of rows with equal id and text one stays.
     All columns of ``docs`` come back under their names. An empty table gives no rows.
     """
-    placed = rooted(identified(docs, id_col, text_col), size, percent).where("root IS NOT NULL")
-    placed = placed.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h"))
+    every = rooted(identified(docs, id_col, text_col), size, percent)
+    placed = every.where("root IS NOT NULL").withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h"))
     first = placed.groupBy("root").agg(F.min("place").alias("first"))
-    gone = placed.join(first, "root").where("place <> first").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h")).distinct()
-    text = fresh(docs, "text_hash")
-    own = docs.withColumn(text, F.xxhash64(F.col(f"`{text_col}`").cast("string"))).alias("own")
-    kept = own.join(gone, F.col(f"own.`{id_col}`").cast("long").eqNullSafe(F.col("__gone")) & (F.col(f"own.{text}") == F.col("__h")), "left_anti")
-    return kept.dropDuplicates([id_col, text]).drop(text)
+    id_name, text_name = fresh(docs, "gone_id"), fresh(docs, "gone_hash")
+    gone = spread_join(placed, first, "root", hot_slots(placed, "root")).where("place <> first").select("doc_id", "h").distinct()
+    gone = materialise(gone.toDF(id_name, text_name), "gone")
+    twice = every.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    text, own_id = fresh(docs, "text_hash"), F.col(f"`{id_col}`").cast("long")
+    own = docs.withColumn(text, F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    may = maybe_among(gone.select(F.col(text_name).alias("h")).union(twice))(F.col(text))  # most rows stay and need not be shuffled
+    some = own.where(may).join(gone, own_id.eqNullSafe(F.col(id_name)) & (F.col(text) == F.col(text_name)), "left_anti")
+    once = some.dropDuplicates([id_col, text])
+    return once.unionByName(own.where(~may)).drop(text)

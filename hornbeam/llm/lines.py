@@ -1,13 +1,14 @@
 """Line deduplication by pairwise alignment.
 
-Documents meet through the hashes of lines they share. A line's first document
-(smallest id) stands for all that hold it, so a line that stands in a million
-documents makes a million pairs, not their square. All of a document's shared lines
-vote, however many documents hold them, and so do its shortest runs of lines that
-have enough words for a block: a block's first holder is met though each of its
-lines stands in other, earlier documents too. Every pair found is aligned by patience
-diff on the line hashes, and common blocks of enough words are deleted from the later
-document.
+Documents meet through hashes of lines that could make up a block: a line that has enough
+words alone, else the shortest run of consecutive lines that has. Such runs are rare where
+their lines are not. A run's first document (smallest id) stands for all that hold it, so a
+passage that stands in a million documents makes a million pairs, not their square. Every
+pair found is aligned by patience diff on the line hashes, what order alone kept apart is
+aligned after it, and common blocks of enough words are deleted from the later document.
+
+No later document loses a pair by meeting first holders only: whatever block it shares
+with any earlier document consists of such runs, and it meets each run's first holder.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified
+from .common import forget, fresh, hot_slots, identified, materialise, spread_join
+from .membership import marks, maybe_among
 from .rules import BLANKS
 
 _FIRST = -(1 << 63)
+_BITS = 23
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -72,24 +75,55 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def run_spans(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """The shortest runs of lines that make a block, from each line on and up to each line; of a text of fewer words, all of it.
+
+    Every line of a common block stands in such a run within the block, and the run is one in the other text too.
+    """
+    ends = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    if ends[-1] < min_words:
+        return [(0, len(words))] if len(words) else []
+    to = np.searchsorted(ends, ends[:-1] + min_words)  # a run from line k ends before line to[k]
+    since = np.searchsorted(ends, ends[1:] - min_words, "right") - 1  # a run up to line k begins at line since[k]
+    return sorted({(k, m) for k, m in enumerate(to.tolist()) if m < len(ends)} | {(m, k + 1) for k, m in enumerate(since.tolist()) if m >= 0})
+
+
+def part_spans(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """All runs of lines with fewer words than a block needs: a whole text of so few words may stand there."""
+    ends = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    to = np.searchsorted(ends, ends[:-1] + min_words).tolist()
+    return [(a, b) for a, m in enumerate(to) for b in range(a + 1, min(m, len(words) + 1))]
+
+
 def common_blocks(earlier: list[int], later: list[int], words: list[int], min_words: int) -> list[int]:
-    """Positions of the later document's lines in common blocks of enough words, or all if it is common as a whole.
+    """Positions of the later document's lines in common blocks of enough words, or in a block that is all of it.
 
     Blank lines (hash 0) take no part, so they neither begin nor end a block.
     """
-    full_a, full_b = ([k for k, x in enumerate(seq) if x] for seq in (earlier, later))
-    matched = patience([earlier[k] for k in full_a], [later[k] for k in full_b])
-    if len(matched) == len(full_b):
-        return full_b
-    out: list[int] = []
+    full_b = [k for k, x in enumerate(later) if x]
+    one, two, n = [x for x in earlier if x], [later[k] for k in full_b], [words[k] for k in full_b]
+    gone: set[int] = set()
     run: list[int] = []
-    for (i, j), follows in zip(matched, [False, *[x[0] + 1 == y[0] and x[1] + 1 == y[1] for x, y in zip(matched, matched[1:])]]):
-        if not follows:
-            if sum(words[k] for k in run) >= min_words:
-                out += run
+
+    def settle() -> None:
+        if run and (len(run) == len(two) or sum(n[k] for k in run) >= min_words):
+            gone.update(run)
+
+    last = (-2, -2)
+    for i, j in patience(one, two):
+        if (i, j) != (last[0] + 1, last[1] + 1):
+            settle()
             run = []
-        run.append(full_b[j])
-    return out + run if sum(words[k] for k in run) >= min_words else out
+        run.append(j)
+        last = i, j
+    settle()
+    left, there = [k for k in range(len(two)) if k not in gone], set(one)
+    if any(two[k] in there for k in left):  # blocks that stand in another order, or beside an equal line
+        spans = [(a, b) for a, b in run_spans(n, min_words) if not gone.issuperset(range(a, b)) and there.issuperset(two[a:b])]
+        for size in {b - a for a, b in spans}:
+            held = {tuple(one[k : k + size]) for k in range(len(one) - size + 1)}
+            gone.update(k for a, b in spans if b - a == size and tuple(two[a:b]) in held for k in range(a, b))
+    return [full_b[k] for k in sorted(gone)]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -106,73 +140,91 @@ def line_hashes(text: Column) -> tuple[Column, Column]:
     return hashes, F.transform(bare, lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, " +"))))
 
 
-def runs(lines: list[int], words: list[int], min_words: int) -> list[int]:
-    """Hashes of the shortest runs of at least two lines with words that make a block, from each line on and up to each line.
+def _hash(lines: np.ndarray, span: tuple[int, int]) -> int:
+    return xxhash.xxh3_64_intdigest(lines[span[0] : span[1]].tobytes()) - (1 << 63)
+
 
-    Every line of a common block stands in such a run within the block.
+def held_runs(lists: DataFrame, min_words: int) -> DataFrame:
+    """(id, h, run, asks): the runs of every document; ``asks``: an earlier holder of the run takes it from this one.
+
+    Runs of fewer words than a block are told of only where they may be all of some document.
     """
-    full = [k for k, x in enumerate(lines) if x]
-    ends = np.concatenate(([0], np.cumsum([words[k] for k in full], dtype=np.int64)))
-    to = np.searchsorted(ends, ends[:-1] + min_words)  # a run from line k ends before line to[k]
-    since = np.searchsorted(ends, ends[1:] - min_words, "right") - 1  # a run up to line k begins at line since[k]
-    spans = {(k, int(m)) for k, m in enumerate(to) if m < len(ends)} | {(int(m), k + 1) for k, m in enumerate(since) if m >= 0}
-    data = np.array([lines[k] for k in full], np.int64)
-    return sorted({xxhash.xxh3_64_intdigest(data[a:b].tobytes()) - (1 << 63) for a, b in spans if b - a > 1})
+    total = F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x)
+    slot = lambda h: h & ((1 << _BITS) - 1)  # noqa: E731 - runs are hashes already
 
+    def whole(batches):
+        for pdf in batches:
+            data = [np.array([x for x in xs if x], np.int64) for xs in pdf["lines"]]
+            yield pd.DataFrame({"slot": [slot(_hash(d, (0, len(d)))) for d in data if len(d)]}, dtype="int64")
 
-def removals(docs: DataFrame, rare: int | None = None, min_words: int = 20) -> DataFrame:
-    """(key, gone): positions of the lines that go, for every document of (doc_id, text) that loses any.
+    wanted = lists.sparkSession.sparkContext.broadcast(marks(lists.where(total.between(1, min_words - 1)).mapInPandas(whole, "slot long"), _BITS))
 
-    With ``rare``, an approximation that misses passages: of a document's shared lines only those in at most
-    ``rare`` documents vote, or its rarest where it has none so rare.
-    """
+    def runs(batches):
+        known = wanted.value
+        any_short = bool(known.any())
+        for pdf in batches:
+            out = []
+            for i, h, lines, words in zip(pdf["id"], pdf["h"], pdf["lines"], pdf["words"]):
+                full = np.flatnonzero(lines)
+                data, n = np.asarray(lines, np.int64)[full], np.asarray(words)[full].tolist()
+                found = {_hash(data, s): True for s in run_spans(n, min_words)}
+                if any_short:
+                    for s in part_spans(n, min_words):
+                        at = slot(r := _hash(data, s))
+                        if known[at >> 3] >> (7 - (at & 7)) & 1:
+                            found.setdefault(r, False)
+                out += [(i, h, r, asks) for r, asks in found.items()]
+            yield pd.DataFrame(out, columns=["id", "h", "run", "asks"])
+
+    return lists.mapInPandas(runs, "id long, h long, run long, asks boolean")
+
+
+def removals(docs: DataFrame, min_words: int = 20) -> DataFrame:
+    """(id, h, gone): positions of the lines that go, for every document of (doc_id, text) that loses any."""
     hashes, words = line_hashes(F.col("text"))
-    lists = keyed(docs).select("key", hashes.alias("lines"), words.alias("words")).dropDuplicates(["key"])
-    held = lists.select("key", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
-    shared = held.groupBy("line").agg(F.count("*").alias("df"), F.min("key").alias("first")).where("df > 1")
-    votes = held.join(shared, "line").where("key <> first")
-    if rare is not None:
-        rarest = votes.groupBy("key").agg(F.min("df").alias("least"))
-        votes = votes.join(rarest, "key").where(F.col("df") <= F.greatest(F.col("least"), F.lit(rare)))
-        pairs = votes.select("key", "first").distinct()
-    else:
-
-        def blocks(batches):
-            for pdf in batches:
-                found = [runs(x, w, min_words) for x, w in zip(pdf["lines"], pdf["words"])]
-                yield pd.DataFrame({"id": pdf["id"], "h": pdf["h"], "run": found}).explode("run").dropna(subset="run").astype({"run": "int64"})
-
-        held_runs = lists.select(F.col("key.id").alias("id"), F.col("key.h").alias("h"), "lines", "words").mapInPandas(blocks, "id long, h long, run long")
-        held_runs = held_runs.select(F.struct("id", "h").alias("key"), "run")
-        first_runs = held_runs.groupBy("run").agg(F.count("*").alias("df"), F.min("key").alias("first")).where("df > 1")
-        met = held_runs.join(first_runs, "run").where("key <> first")
-        pairs = votes.select("key", "first").union(met.select("key", "first")).distinct()
-    firsts = lists.select(F.col("key").alias("first"), F.col("lines").alias("earlier"))
-    both = pairs.join(firsts, "first").join(lists, "key").select(F.col("key.id").alias("id"), F.col("key.h").alias("h"), "earlier", "lines", "words")
+    key = F.struct("id", "h")
+    lists = keyed(docs).select("key.id", "key.h", hashes.alias("lines"), words.alias("words"))
+    lists = materialise(lists.dropDuplicates(["id", "h"]), "lines")
+    runs = materialise(held_runs(lists, min_words), "runs")
+    shared = runs.groupBy("run").agg(F.count("*").alias("df"), F.min(key).alias("first")).where("df > 1").drop("df")
+    met = spread_join(runs.where("asks"), shared, "run", hot_slots(runs, "run")).where(key != F.col("first"))
+    pairs = materialise(met.select("id", "h", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h")).distinct(), "pairs")
+    firsts = lists.select(F.col("id").alias("first_id"), F.col("h").alias("first_h"), F.col("lines").alias("earlier"))
+    both = spread_join(pairs, firsts, ["first_id", "first_h"], hot_slots(pairs, ["first_id", "first_h"])).join(lists, ["id", "h"])
 
     def align(batches):
         for pdf in batches:
-            gone = [common_blocks(list(e), list(x), list(w), min_words) for e, x, w in zip(pdf["earlier"], pdf["lines"], pdf["words"])]
+            gone = [common_blocks(e.tolist(), x.tolist(), w.tolist(), min_words) for e, x, w in zip(pdf["earlier"], pdf["lines"], pdf["words"])]
             out = pd.DataFrame({"id": pdf["id"], "h": pdf["h"], "gone": gone})
             yield out[out["gone"].map(len) > 0]
 
-    found = both.mapInPandas(align, "id long, h long, gone array<int>")
-    return found.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")).select(F.struct("id", "h").alias("key"), "gone")
+    found = both.select("id", "h", "earlier", "lines", "words").mapInPandas(align, "id long, h long, gone array<int>")
+    out = materialise(found.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "removals")
+    for used in (lists, runs, pairs):
+        forget(used)
+    return out
 
 
-def deduplicate_lines(docs: DataFrame, rare: int | None = None, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate_lines(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, the text without the deleted lines, and n_lines and n_removed (lines with words).
 
+    A line goes if it lies in a block of consecutive lines (blank ones aside) of ``min_words`` words or more that an
+    earlier document holds as well, or if the whole document is one block of an earlier one.
     Null text: stays null, with no lines. A null id counts as the smallest. Repeated rows are one document
     and get the same result; of two texts under one id the smaller hash is the earlier. Empty table: no rows.
-    Added columns replace columns of the same names. ``rare`` as in ``removals``.
+    Texts are read whole, however long; a pair is aligned on the hashes of its lines alone.
+    Added columns replace columns of the same names.
     """
-    own = docs.withColumnsRenamed({c: f"{c}__own" for c in ("key", "gone", "n_lines", "n_removed") if c in docs.columns and c not in (id_col, text_col)})
-    key = F.struct(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_FIRST)).alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("h"))
-    marked = own.withColumn("key", key).join(removals(identified(docs, id_col, text_col), rare, min_words), "key", "left")
-    lines = F.split(F.col(f"`{text_col}`"), "\n")
-    left = F.when(F.col("gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    n = F.size(F.filter(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n"), lambda x: F.translate(x, BLANKS, "") != "")).cast("long")
-    out = marked.withColumns({"n_lines": n, "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}).withColumn(text_col, left)
-    back = [F.col(f"`{c}__own`").alias(c) if c in ("key", "gone") and f"{c}__own" in out.columns else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*back, "n_lines", "n_removed")
+    hashed, found_id, found_hash, found = (fresh(docs, c) for c in ("text_hash", "found_id", "found_hash", "found"))
+    gone = removals(identified(docs, id_col, text_col), min_words).toDF(found_id, found_hash, found)
+    text = F.col(f"`{text_col}`").cast("string")
+    own_id = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_FIRST))
+    own = docs.drop(*[c for c in ("n_lines", "n_removed") if c not in (id_col, text_col)]).withColumn(hashed, F.xxhash64(text))
+    may = maybe_among(gone.select(found_hash))(F.col(hashed))  # most documents lose nothing and need not be shuffled
+    some = own.where(may).join(gone, (own_id == F.col(found_id)) & (F.col(hashed) == F.col(found_hash)), "left").drop(found_id, found_hash)
+    marked = some.unionByName(own.where(~may).withColumn(found, F.lit(None).cast("array<int>")))
+    lines = F.split(text, "\n")
+    left = F.when(F.col(found).isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(found, i)), "\n"))
+    n = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.translate(x, BLANKS, "") != "")).cast("long")
+    out = marked.withColumns({"n_lines": n, "n_removed": F.coalesce(F.size(found), F.lit(0)).cast("long")}).withColumn(text_col, left)
+    return out.drop(found, hashed)

@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from hornbeam.llm.lines import common_blocks, deduplicate_lines, patience
+from hornbeam.llm.common import hot_slots, spread_join
+from hornbeam.llm.lines import common_blocks, deduplicate_lines, part_spans, patience, run_spans
 from hornbeam.llm.queries import op10_lines
 
 from conftest import DIR
@@ -34,56 +35,56 @@ def test_blocks():
     assert common_blocks([1, 0, 2], [8, 1, 0, 2], [10, 10, 0, 10], 20) == [1, 3]
 
 
-def blocks_of(lines, min_words):
-    """Shortest runs of two lines or more with enough words, from each line on and up to each line."""
-    full = [x.strip() for x in lines if x.strip()]
-    enough = lambda a, b: sum(len(x.split()) for x in full[a:b]) >= min_words
-    spans = [(a, b) for a in range(len(full)) for b in range(a + 2, len(full) + 1) if enough(a, b)]
-    return {tuple(full[a:b]) for a, b in spans if not enough(a, b - 1) or not enough(a + 1, b)}
-
-
-def plain(rows, rare, min_words, with_blocks=False):
-    """Texts after alignment with the first document of each shared line that votes, found by looking at all."""
-    docs = [(d, (t or "").split("\n")) for d, t in rows]
+def plain(rows, min_words):
+    """Texts without the blocks that any earlier document holds, found by comparing every line with every line."""
     strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
-    holders: dict[str, list[int]] = {}
-    for k, (_, lines) in enumerate(docs):
-        for x in {strip(x) for x in lines} - {""}:
-            holders.setdefault(x, []).append(k)
-    first_of: dict[tuple, int] = {}
-    for k in sorted(range(len(docs)), key=lambda k: docs[k][0]) if with_blocks else ():
-        for x in blocks_of(docs[k][1], min_words):
-            first_of.setdefault(x, k)
+    docs = sorted(((d, (t or "").split("\n")) for d, t in rows), key=lambda r: r[0])
+    full = [[k for k, x in enumerate(lines) if strip(x)] for _, lines in docs]
     out = {}
-    for k, (d, lines) in enumerate(docs):
-        shared = [x for x in {strip(x) for x in lines} - {""} if len(holders[x]) > 1 and min(docs[h][0] for h in holders[x]) != d]
-        least = min((len(holders[x]) for x in shared), default=0)
-        gone = set()
-        meets = {min(holders[x], key=lambda h: docs[h][0]) for x in shared if len(holders[x]) <= max(least, rare)}
-        for h in meets | ({first_of[x] for x in blocks_of(lines, min_words)} - {k} if with_blocks else set()):
-            code = lambda x: hash(strip(x)) if strip(x) else 0
-            gone |= set(common_blocks([code(x) for x in docs[h][1]], [code(x) for x in lines], [len(strip(x).split()) for x in lines], min_words))
+    for c, (d, lines) in enumerate(docs):
+        own, gone = [strip(lines[k]) for k in full[c]], set()
+        for a in range(c):
+            other = [strip(docs[a][1][k]) for k in full[a]]
+            for i in range(len(other)):
+                for j in range(len(own)):
+                    n = 0
+                    while i + n < len(other) and j + n < len(own) and other[i + n] == own[j + n]:
+                        n += 1
+                    if n and (n == len(own) or sum(len(x.split()) for x in own[j : j + n]) >= min_words):
+                        gone |= set(full[c][j : j + n])
         out[d] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(4))
 def test_against_a_plain_version(docs, seed):
+    """All earlier documents are looked at: lines that stand in many, blocks in other orders, short and whole texts."""
     rng = random.Random(seed)
-    pool = [" ".join(f"l{k}w{j}" for j in range(rng.randint(1, 15))) for k in range(40)] + [""]
-    rows = [(d, "\n".join(rng.choice(pool) if rng.random() < 0.7 else f"own {d} {j}" for j in range(rng.randint(1, 10)))) for d in rng.sample(range(500), 60)]
-    rows += [(900, rows[0][1]), (901, rows[0][1] + "\nmore")]
-    got = {r.doc_id: r.text for r in deduplicate_lines(docs(rows), rare=3, min_words=8).collect()}
-    assert got == plain(rows, 3, 8)
+    pool = [" ".join(f"l{k}w{j}" for j in range(rng.randint(1, 15))) for k in range(25)] + [""]
+    runs = [[rng.choice(pool) for _ in range(rng.randint(1, 5))] for _ in range(12)]
+    line = lambda d, j: rng.choice([[rng.choice(pool)], rng.choice(runs), [f"own {d} {j}"]])
+    rows = [(d, "\n".join(x for j in range(rng.randint(1, 6)) for x in line(d, j))) for d in rng.sample(range(500), 90)]
+    rows += [(900, rows[0][1]), (901, rows[0][1] + "\nmore"), (902, "\n".join(rows[1][1].split("\n")[-2:]))]
+    least = (8, 20)[seed % 2]
+    assert {r.doc_id: r.text for r in deduplicate_lines(docs(rows), min_words=least).collect()} == plain(rows, least)
+
+
+def test_moved_and_short_blocks(docs):
+    line = lambda k, n=11: " ".join(f"m{k}w{j}" for j in range(n))
+    x, y = "\n".join([line(1), line(2)]), "\n".join([line(3), line(4), line(5)])
+    rows = [(1, f"{x}\n{y}"), (2, f"{y}\nown line\n{x}"), (3, "yes\nfirst"), (4, "second\nno"), (5, "a\nyes\nno\nb"), (6, "yes\nno"), (7, "yes\n\nno"), (8, "no\nyes")]
+    got = {r.doc_id: r.text for r in deduplicate_lines(docs(rows)).collect()}
+    assert got == {**dict(rows), 2: "own line", 6: "", 7: ""} and got == plain(rows, 20)
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_all_shared_lines_vote(docs, seed):
-    rng = random.Random(seed)
-    pool = [" ".join(f"l{k}w{j}" for j in range(rng.randint(1, 15))) for k in range(20)]
-    rows = [(d, "\n".join(rng.choice(pool) if rng.random() < 0.7 else f"own {d} {j}" for j in range(rng.randint(1, 10)))) for d in rng.sample(range(500), 80)]
-    got = {r.doc_id: r.text for r in deduplicate_lines(docs(rows), min_words=8).collect()}
-    assert got == plain(rows, len(rows), 8, with_blocks=True)
+def test_spans_and_hot_keys(spark):
+    assert run_spans([10, 10, 10], 20) == [(0, 2), (1, 3)] and run_spans([25, 1], 20) == [(0, 1), (0, 2)] and run_spans([3, 4], 20) == [(0, 2)] and run_spans([], 20) == []
+    assert part_spans([10, 9, 8], 20) == [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3)]
+    many = spark.range(40_000).selectExpr("id", "if(id < 30000, 7, id) AS k")
+    hot = hot_slots(many, "k")
+    assert len(hot) == 1 and hot_slots(many, "id") == []
+    joined = spread_join(many, spark.range(40_000).selectExpr("id AS k", "id AS own"), "k", hot)
+    assert joined.where("own = k").count() == 40_000 and joined.where("k = 7").select("id").distinct().count() == 30_000
 
 
 def test_a_block_of_lines_that_stand_elsewhere(docs):
@@ -116,6 +117,8 @@ def test_odd_rows(odd, docs):
     got = deduplicate_lines(odd).collect()
     assert len(got) == odd.count() and [r.text for r in got if r.doc_id == 1] == [None] and {r.n_lines for r in got if r.doc_id in (1, 2, 4)} == {0}
     assert deduplicate_lines(docs([])).collect() == []
+    odd_names = deduplicate_lines(odd.selectExpr("*", "1 AS text_hash", "2 AS found", "3 AS found_id"))
+    assert {(r.text_hash, r.found, r.found_id) for r in odd_names.collect()} == {(1, 2, 3)}
     clash = deduplicate_lines(odd.selectExpr("*", "1 AS key", "2 AS gone", "3 AS n_lines"))
     assert clash.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "gone", "n_lines", "n_removed"] and {r.key for r in clash.collect()} == {1}
     rows = [(None, "x y\nz"), (4, "x y\nz"), (4, "x y\nz"), (5, "x y\nz\nq")]
