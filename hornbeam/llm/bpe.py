@@ -40,12 +40,22 @@ def byte_symbols() -> dict[str, int]:
     return out
 
 
+def check_declared(spec: dict) -> None:
+    """Refuse vocabularies whose declared steps are not those that this module carries out."""
+    first, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    split = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if spec.get("normalizer") or not split or not plain:
+        raise ValueError("a vocabulary with other steps than byte-level words and merges: it would be encoded wrongly")
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file; remembers words up to ``most``."""
 
     def __init__(self, path: str, most: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_declared(spec)
         back = byte_symbols()
         vocab = spec["model"]["vocab"]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -212,7 +222,10 @@ remembers("bpe", bpe.cache_clear)
 def encode_decode(docs: DataFrame, vocab: str) -> DataFrame:
     """One row per document: doc_id, ids array<int>, decoded string.
 
-    A null text counts as empty: no ids, an empty decoded text. Repeated rows are encoded each.
+    A null text counts as empty: no ids, an empty decoded text. Repeated rows are encoded each. Texts are encoded
+    whole, however long; merges of equal rank go from left to right, as the rules say. An empty table gives no rows.
+    Other columns are not read, so no name can clash. A vocabulary file that declares other steps than
+    byte-level pre-tokenisation and byte-pair merges is refused (ValueError).
     """
 
     def run(batches):

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 TRIPLES = 1 << 17
 _PART = 1 << 14
 _LETTER = re.compile(r"[^\W\d_]")
@@ -169,14 +171,20 @@ class Model:
         return out
 
 
-def identify(docs: DataFrame, learning: DataFrame, text_col: str = "text", penalty: float = 12.0, rare: float = 0.001) -> DataFrame:
-    """``docs`` with a column ``language`` (lang, score, spans), learnt from ``learning`` (lang, text).
+def identify(docs: DataFrame, learning: DataFrame, text_col: str = "text", penalty: float = 12.0, rare: float = 0.001, out_col: str = "language", most: int = 200) -> DataFrame:
+    """``docs`` with a column ``out_col`` (lang, score, spans), learnt from ``learning`` (lang, text).
 
     A text that is null or has no letter gets ``und`` with score 0 and no spans, and so does every text
     where nothing was learnt. Rows with a null lang or text teach nothing. Repeated rows are labelled each.
     A language is a candidate for a word if at least ``rare`` of its learnt words use the word's script.
+    Texts are labelled whole, however long; of languages with equal scores the first by name wins. An empty table
+    gives no rows. All columns of ``docs`` pass through; if one has the name ``out_col``, the new one is called
+    ``fresh(docs, out_col)``. A model has 0.8 MB a language, so more than ``most`` languages are refused.
     """
-    counts = learn(learning.where("lang IS NOT NULL AND text IS NOT NULL"))
+    out_col, known = fresh(docs, out_col), learning.where("lang IS NOT NULL AND text IS NOT NULL")
+    if (n := len(known.select("lang").distinct().limit(most + 1).collect())) > most:
+        raise ValueError(f"{n} languages or more to learn: more than {most} make too large a model")
+    counts = learn(known)
     model = docs.sparkSession.sparkContext.broadcast(Model(counts, penalty, rare))
 
     @F.pandas_udf("struct<lang:string,score:double,spans:array<struct<lang:string,first:int,words:int>>>")
@@ -184,4 +192,4 @@ def identify(docs: DataFrame, learning: DataFrame, text_col: str = "text", penal
         rows = model.value.label(texts.tolist())
         return pd.DataFrame({"lang": [r[0] for r in rows], "score": [r[1] for r in rows], "spans": [[{"lang": a, "first": b, "words": c} for a, b, c in r[2]] for r in rows]})
 
-    return docs.withColumn("language", label(F.col(f"`{text_col}`").cast("string")))
+    return docs.withColumn(out_col, label(F.col(f"`{text_col}`").cast("string")))

@@ -383,7 +383,9 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 def pack_documents(docs: DataFrame, vocab: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Tokenise, cut and pack documents; one row per piece.
 
-    Null text: empty. Empty table: no rows. Repeated doc_ids: each row is packed on its own.
+    Null text: empty. Empty table: no rows. Repeated doc_ids: each row is packed on its own. Very long texts are
+    cut into pieces of ``capacity`` ids, none is dropped. Pieces of equal length take the places of that length in
+    the order in which they are written; any order packs equally well. Other columns are not read.
     """
     pieces = tokenised(docs, vocab, capacity, end_id)
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialise
+from .common import forget, fresh, materialise
 
 LOW, NONE, HIGH = -1, 0, 1
 BUCKETS = 1 << 14
@@ -217,9 +217,9 @@ class Scorer:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000) -> tuple[LabelModel, Scorer]:
     """Pattern counts over all rows, and a scorer from the ``sample`` different rows of (id, text) with the least hashes."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    n = docs.count()
-    share = int((1 << 20) * min(1.0, 2 * sample / max(1, n)))  # more than enough: few of many rows are looked at closely
     key = F.xxhash64(F.col(f"`{id_col}`").cast("string"), text)
+    n = docs.agg(F.approx_count_distinct(key)).first()[0]
+    share = int((1 << 20) * min(1.0, 2 * sample / max(1, n)))  # more than enough: few of many rows are looked at closely
     rows = docs.select(text.alias("text"), key.alias("key"), (F.shiftrightunsigned(key, 44) < share).alias("drawn"))
 
     def look(batches):
@@ -255,11 +255,10 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
     A null text counts as empty; a text without words is not kept. Repeated rows are scored each, and drawn once
     at most for training; ties at the threshold are kept; an empty table gives no rows. Texts are judged whole:
-    shares are taken over all words, so a very long text is treated like a short one. ``out_col`` must not be a
-    column of ``docs`` (ValueError); columns of any other name pass through.
+    shares are taken over all words, so a very long text is treated like a short one. All columns of ``docs`` pass
+    through; if one has the name ``out_col``, the new one is called ``fresh(docs, out_col)``, with underscores added.
     """
-    if out_col in docs.columns:
-        raise ValueError(f"the table has a column {out_col} already: choose another out_col")
+    out_col = fresh(docs, out_col)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, sample))
 
     @F.pandas_udf("struct<label:double,score:double,kept:boolean>")

@@ -17,10 +17,10 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remembers, working
+from .common import fresh, remembers, working
 
 KINDS = ("assign", "access", "hex", "crf")
 #: The base patterns (fixed values); letters of the names in either case.
@@ -210,8 +210,11 @@ def numbers_of(text: str) -> np.ndarray:
     return np.fromiter(map(_shapes.__getitem__, words), np.int64, len(words))
 
 
-def training_rows(texts: list[str], around: int = 15) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Words near a match of the patterns, or the first words of a text without one, with their labels."""
+def training_rows(texts: list[str], around: int = 15, most: int = 20) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Words near the first ``most`` matches of the patterns, or the first words of a text without one, with their labels.
+
+    Matches near each other share one stretch of words, so no word is given twice.
+    """
     out = []
     for text in texts:
         numbers, places = numbers_of(text), words_with_places(text)
@@ -225,7 +228,10 @@ def training_rows(texts: list[str], around: int = 15) -> list[tuple[np.ndarray,
                 labels[hit[0]] = BEGIN
                 labels[hit[1:]] = INSIDE
         marked = np.flatnonzero(labels)
-        cuts = [(max(0, k - around), k + around) for k in marked] or [(0, 4 * around)]
+        begun = np.flatnonzero(labels == BEGIN)
+        marked = marked[marked < begun[most]] if len(begun) > most else marked
+        cuts = merged([(max(0, k - around), min(k + around, len(places))) for k in marked.tolist()]) or [(0, 4 * around)]
+        cuts = [(a, min(b, a + 4 * around * most)) for a, b in cuts]
         out += [(feats[a:b], labels[a:b]) for a, b in cuts]
     return out
 
@@ -262,44 +268,49 @@ def find(text: str | None, field: Field) -> list[tuple[str, int, int]]:
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = 600, id_col: str = "doc_id") -> Field:
-    """The field, learnt from about ``sample`` documents that name a secret and as many that don't.
+    """The field, learnt from ``sample`` documents that name a secret and as many that don't, or all, if fewer.
 
-    Rows are taken by a hash of id and text under a share that makes that number of the table's count, so
-    the sample is bounded however large the table is; whole texts are labelled where they lie, and only
-    the words near matches come to the driver.
+    Taken are the rows with the least hashes of id and text, a repeated row once, so the sample is bounded
+    however large the table is; whole texts are labelled where they lie, and only words near the first
+    matches of each come to the driver: some 1,200 words a document at most.
     """
     low, text = F.lower(F.col(f"`{text_col}`")), F.col(f"`{text_col}`")
     hint = text.contains("AKIA")
     for name in _NAMES:
         hint = hint | low.contains(name)
-    known = docs.where(text.isNotNull()).select(text.cast("string").alias("text"), hint.alias("hint"), F.pmod(F.xxhash64(f"`{id_col}`", text), F.lit(1 << 20)).alias("draw"))
-    sizes = {r["hint"]: r["n"] for r in known.groupBy("hint").agg(F.count("*").alias("n")).collect()}
+    known = docs.where(text.isNotNull()).select(text.cast("string").alias("text"), hint.alias("hint"), F.xxhash64(f"`{id_col}`", text).alias("key"))
+    sizes = {r["hint"]: r["n"] for r in known.groupBy("hint").agg(F.approx_count_distinct("key").alias("n")).collect()}
     limit = F.lit(0)
     for kind, n in sizes.items():
-        limit = F.when(F.col("hint") == kind, int((1 << 20) * min(1.0, sample / n))).otherwise(limit)
+        limit = F.when(F.col("hint") == kind, int((1 << 20) * min(1.0, 2 * sample / n))).otherwise(limit)
 
     def label(batches):
         for pdf in batches:
             rows = training_rows(pdf["text"].tolist())
             yield pd.DataFrame({"feats": [f.astype(np.int64).tobytes() for f, _ in rows], "labels": [x.tobytes() for _, x in rows]})
 
-    rows = known.where(F.col("draw") < limit).select("text").mapInPandas(label, "feats binary, labels binary").collect()
+    some = known.where(F.shiftrightunsigned("key", 44) < limit).dropDuplicates(["key"])
+    least = F.row_number().over(Window.partitionBy("hint").orderBy(F.shiftrightunsigned("key", 1), "key"))
+    rows = some.withColumn("nth", least).where(F.col("nth") <= sample).select("text").mapInPandas(label, "feats binary, labels binary").collect()
     pairs = sorted((bytes(r["feats"]), bytes(r["labels"])) for r in rows)
     return Field().fit([(np.frombuffer(f, np.int64).reshape(-1, 6), np.frombuffer(x, np.int64)) for f, x in pairs])
 
 
-def scan(docs: DataFrame, text_col: str = "text", sample: int = 600, field: Field | None = None) -> DataFrame:
-    """``docs`` with a column ``spans`` (kind, start, end; code points, end exclusive).
+def scan(docs: DataFrame, text_col: str = "text", sample: int = 600, field: Field | None = None, id_col: str = "doc_id", out_col: str = "spans") -> DataFrame:
+    """``docs`` with a column ``out_col`` (kind, start, end; code points, end exclusive).
 
-    A null or empty text has no spans; repeated rows are scanned each; texts are scanned whole.
+    A null or empty text has no spans; repeated rows are scanned each; texts are scanned whole, however long.
+    Spans of equal start stand in the order of KINDS. An empty table gives no rows. All columns of ``docs`` pass
+    through; if one has the name ``out_col``, the new one is called ``fresh(docs, out_col)``.
     """
-    fitted = docs.sparkSession.sparkContext.broadcast(field or train(docs, text_col, sample))
+    out_col = fresh(docs, out_col)
+    fitted = docs.sparkSession.sparkContext.broadcast(field or train(docs, text_col, sample, id_col))
 
     @F.pandas_udf("array<struct<kind:string,start:int,end:int>>")
     def spans(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in find(t, fitted.value)] for t in texts], dtype=object)
 
-    return docs.withColumn("spans", spans(F.col(f"`{text_col}`").cast("string")))
+    return docs.withColumn(out_col, spans(F.col(f"`{text_col}`").cast("string")))
 
 
 def base_digest(spans: str, leave: str | None = "crf") -> Column:
@@ -309,7 +320,11 @@ def base_digest(spans: str, leave: str | None = "crf") -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **how) -> DataFrame:
-    """``docs`` with every span (merged where they overlap) replaced by ``mark``; other columns stay."""
+    """``docs`` with every span (merged where they overlap) replaced by ``mark``; other columns stay.
+
+    A null text stays null, an empty one empty; repeated rows are treated each; texts are scanned whole, however
+    long; an empty table gives no rows. No column is added, so no name can clash.
+    """
     fitted = docs.sparkSession.sparkContext.broadcast(train(docs, text_col, **how))
 
     @F.pandas_udf("string")

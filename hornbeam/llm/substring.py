@@ -189,7 +189,9 @@ def deduplicate(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_co
 
     A word goes if a window of ``size`` words that covers it also starts in a document with a smaller id; windows
     are judged on the input. Null or empty text: no words. A null id counts as the smallest; rows of one id
-    never remove each other's words; an empty table gives no rows.
+    never remove each other's words; an empty table gives no rows. Texts are read whole, however long: a task holds
+    the windows of a batch of texts. Of equal windows the one in the smallest id stays, and all its copies there.
+    Other columns are not read.
     """
     slim = identified(docs, id_col, text_col).select(F.col("doc_id").alias("own_id"), F.coalesce("doc_id", F.lit(_FIRST)).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     places = repeated_windows(slim, size)
