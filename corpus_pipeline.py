@@ -1,47 +1,64 @@
-"""A corpus pipeline of five stages over ``documents``; each stage's rows are written and read by the next."""
+"""A corpus pipeline of five stages over ``documents``; each stage's rows are written and read by the next.
+
+Every stage works on all rows that its predecessor kept and takes whole texts, however long. Extra columns of
+any name pass through the first four stages; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornbeam.llm.common import materialise, table
+from hornbeam.llm.common import fresh, materialise, table
 from hornbeam.llm.queries import vocabulary
 from hornbeam.llm.rules import words
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; those with a null or empty text have no words and go too.
+
+    Repeated rows are judged alike; a score at the threshold is kept.
+    """
     from hornbeam.llm.quality import classify
 
-    return classify(docs).where("quality.kept").select(*docs.columns)
+    verdict = fresh(docs, "quality")
+    return classify(docs, out_col=verdict).where(F.col(f"{verdict}.kept")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of common blocks go from the later document; documents that lose all their words go."""
+    """Lines of common blocks go from the later document; documents that lose all their words go.
+
+    The smaller id is the earlier document, of one id the smaller hash of the text; a null id is the first of all.
+    Repeated rows are one document. A null text has no lines and stays. ``n_chars`` is that of the text left.
+    """
     from hornbeam.llm.lines import deduplicate_lines
 
-    out = deduplicate_lines(docs)
+    own = docs.withColumnsRenamed({c: fresh(docs, f"{c}_own") for c in ("n_lines", "n_removed") if c in docs.columns})
+    out = deduplicate_lines(own)
     left = (F.col("n_removed") == 0) | (F.size(words(F.coalesce("text", F.lit("")))) > 0)
-    return out.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = out.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in own.columns])
+    return kept.toDF(*docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: the smallest by id (null last), then by hash of the text.
+
+    Texts without words are no duplicates, but of rows with equal id and text one stays.
+    """
     from hornbeam.llm.jaccard import one_of_each
 
-    return one_of_each(docs).select(*docs.columns)
+    return one_of_each(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark; a null text stays null, repeated rows are treated alike, no row goes."""
     from hornbeam.llm.secrets import redact
 
-    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of at most 4096."""
+    """Token pieces in sequences of at most 4096, one row per piece; a null text is an empty one, repeated rows are packed each."""
     from hornbeam.llm.packing import pack_documents
 
     return pack_documents(docs, vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
