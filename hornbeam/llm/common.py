@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -59,6 +60,12 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def give_back() -> None:
+    """Return memory that is no longer used to the system: an executor's workers share what it may take."""
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
 _memories: dict[str, Callable[[], object]] = {}
 _current: list[str] = []
 
@@ -69,12 +76,13 @@ def remembers(owner: str, forget_all: Callable[[], object]) -> None:
 
 
 def working(owner: str) -> None:
-    """A task of this operator begins: what other operators kept in the worker goes."""
+    """A task of this operator begins: what other operators kept in the worker goes, and freed memory is given back."""
     if _current != [owner]:
         for other, drop in _memories.items():
             if other != owner:
                 drop()
         _current[:] = [owner]
+    give_back()
 
 
 class WordHashes(dict):
@@ -121,7 +129,7 @@ def rows_of(batches: Iterable[pa.RecordBatch], most: int = 512) -> Iterable[pa.R
             yield batch.slice(at, most)
 
 
-def together(batches: Iterable[pa.RecordBatch], most: int = 8 << 20) -> Iterable[pa.Table]:
+def together(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterable[pa.Table]:
     """The same rows in tables of at least ``most`` bytes (but the last), for work that is cheaper on many."""
     waiting, size = [], 0
     for batch in batches:

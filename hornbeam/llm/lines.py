@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, fresh, hot_slots, identified, materialise, spread_join
+from .common import forget, fresh, hot_slots, identified, materialise, spread_join, working
 from .membership import marks, maybe_among
 from .rules import BLANKS
 
@@ -153,6 +153,7 @@ def held_runs(lists: DataFrame, min_words: int) -> DataFrame:
     slot = lambda h: h & ((1 << _BITS) - 1)  # noqa: E731 - runs are hashes already
 
     def whole(batches):
+        working("lines")
         for pdf in batches:
             data = [np.array([x for x in xs if x], np.int64) for xs in pdf["lines"]]
             yield pd.DataFrame({"slot": [slot(_hash(d, (0, len(d)))) for d in data if len(d)]}, dtype="int64")
@@ -160,6 +161,7 @@ def held_runs(lists: DataFrame, min_words: int) -> DataFrame:
     wanted = lists.sparkSession.sparkContext.broadcast(marks(lists.where(total.between(1, min_words - 1)).mapInPandas(whole, "slot long"), _BITS))
 
     def runs(batches):
+        working("lines")
         known = wanted.value
         any_short = bool(known.any())
         for pdf in batches:
@@ -193,6 +195,7 @@ def removals(docs: DataFrame, min_words: int = 20) -> DataFrame:
     both = spread_join(pairs, firsts, ["first_id", "first_h"], hot_slots(pairs, ["first_id", "first_h"])).join(lists, ["id", "h"])
 
     def align(batches):
+        working("lines")
         for pdf in batches:
             gone = [common_blocks(e.tolist(), x.tolist(), w.tolist(), min_words) for e, x, w in zip(pdf["earlier"], pdf["lines"], pdf["words"])]
             out = pd.DataFrame({"id": pdf["id"], "h": pdf["h"], "gone": gone})

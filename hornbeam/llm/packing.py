@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import identified, materialise, remembers, together, working
+from .common import give_back, identified, materialise, remembers, together, working
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -89,17 +89,17 @@ class WordIds:
 
     odd = re.compile("[\u0130\u0180-\U0010ffff]")
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         check_declared(self.tokenizer)
-        for t in (self.tokenizer, self.bare):
-            t.no_truncation()
-            t.no_padding()
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        bare = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.steps = {False: (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer), True: (normalizers.Sequence([]), bare)}
+        self.is_bare = False
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self.specials[-1]
         self.mark_id = self.tokenizer.token_to_id(self.mark)
@@ -108,14 +108,21 @@ class WordIds:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.units, self.chunks = Remembered(self.learn_units, most), Remembered(self.learn_chunks, most)
 
+    def library(self, bare: bool):
+        """The library's tokenizer with its own steps, or without those taken over here."""
+        if bare != self.is_bare:
+            self.is_bare = bare
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.steps[bare]
+        return self.tokenizer
+
     def plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.library(False).encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def learn_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their numbers of units in lower case: each but an empty one gives one token with a word end, its last."""
         full = [u for u in units if u]
-        parts = [self.bare.encode_batch_fast([" ".join(full[at : at + 512])], add_special_tokens=False)[0].ids for at in range(0, len(full), 512)]
-        ids = np.concatenate([np.empty(0, "<u4"), *[np.array(p, "<u4") for p in parts]])
+        parts = [np.array(self.library(True).encode_batch_fast([" ".join(full[at : at + 512])], add_special_tokens=False)[0].ids, "<u4") for at in range(0, len(full), 512)]
+        ids = np.concatenate([np.empty(0, "<u4"), *parts])
         size = np.zeros(len(units), np.int64)
         size[np.fromiter(map(bool, units), bool, len(units))] = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
         return ids, size
@@ -153,7 +160,7 @@ class WordIds:
         raw, edges = ids.tobytes(), (4 * np.append(0, ends))[lists.offsets.to_numpy()].tolist()
         return [raw[a:b] for a, b in zip(edges, edges[1:])]
 
-    def encode(self, texts: list[str | None], together: int = 1 << 23) -> list[bytes]:
+    def encode(self, texts: list[str | None], together: int = 1 << 22) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, about ``together`` characters at a time."""
         out: list[list[bytes]] = [[] for _ in texts]
         waiting: dict[bool, list[tuple[int, str]]] = {True: [], False: []}
@@ -163,6 +170,7 @@ class WordIds:
             for (k, _), ids in zip(waiting[easy], self.encode_together([t for _, t in waiting[easy]], easy)):
                 out[k].append(ids)
             waiting[easy], size[easy] = [], 0
+            give_back()
 
         for k, text in enumerate(texts):
             if not text:
@@ -364,6 +372,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     segments = spark.sparkContext.broadcast(plan_packing(histogram, capacity).arrays())
 
     def place(batches):
+        working("packing")
         where = segments.value
         for batch in batches:
             length, rank = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 5))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, fresh, materialise
+from .common import forget, fresh, materialise, working
 
 LOW, NONE, HIGH = -1, 0, 1
 BUCKETS = 1 << 14
@@ -223,6 +223,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     rows = docs.select(text.alias("text"), key.alias("key"), (F.shiftrightunsigned(key, 44) < share).alias("drawn"))
 
     def look(batches):
+        working("quality")
         met: set[int] = set()
         for pdf in batches:
             counts: Counter[int] = Counter()
@@ -263,6 +264,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
     @F.pandas_udf("struct<label:double,score:double,kept:boolean>")
     def judge(texts: pd.Series) -> pd.DataFrame:
+        working("quality")
         labels, scorer = model.value
         rows = [votes(t or "") for t in texts]
         score = [scorer.probability(*features(t or "", v)) for t, v in zip(texts, rows)]
