@@ -116,3 +116,21 @@ def test_components_of_long_paths_and_stars(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{k: 100 for k in range(100, 181)}, **{k: 7 for k in range(1000, 1200)}, 7: 7}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_families_about_the_threshold(docs, seed):
+    """Members of many sizes that link by chance, with passages that the first of them lacks."""
+    rng = random.Random(seed)
+    rows = []
+    for f in range(3):
+        base = [f"f{f}w{k}" for k in range(rng.choice([40, 70]))]
+        hot = [f"f{f}h{k}" for k in range(12)]
+        for _ in range(45):
+            copy = list(base) if rng.random() < 0.6 else [*base[:20], *hot, *base[20:]]
+            for at in rng.sample(range(len(copy)), rng.randint(0, 2)):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy[: len(copy) - rng.choice([0, 0, 3, 9, 15])])))
+    rows = [(d, t) for d, (_, t) in zip(rng.sample(range(10_000), len(rows)), rows)]
+    want = plain(rows)
+    assert len({c for _, _, c in want}) > 5 and sorted(map(tuple, near_duplicates(docs(rows)).collect())) == want
