@@ -10,18 +10,14 @@ each is verified once on the whole sets.
 
 No group is expanded into all its pairs. A first round verifies each class only
 against the leader, the class of the smallest document, of each prefix shingle it
-shares; what is found linked merges. Groups of many classes that still hold several
-components are dealt into slots by size and tried with a few more leaders each. A
-second round verifies every pair that still lies in two components, and so loses no
-link that could join them. There, two classes that were compared with one leader and
-share too little with it can link only by shingles that the leader has not, so they
-meet on those instead.
+shares; what is found linked merges. A second round verifies every pair that still
+lies in two components, and so loses no link that could join them. There, two
+classes that were compared with one leader and share too little with it can link
+only by shingles that the leader has not, so they meet on those instead.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,8 +32,6 @@ from .membership import maybe_among
 SKETCH_BITS, _PART = 20, 1 << 12
 _FIRST = -(1 << 63)
 DEPTH = 3
-#: Groups of more classes than this get more leaders; the pairs of smaller ones are few for each class.
-WIDE = 16
 _COMPARED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("linked", pa.bool_()), ("common", pa.int64()), ("beyond", pa.list_(pa.int64()))])
 _hashes = WordHashes()
 remembers("jaccard", _hashes.clear)
@@ -216,35 +210,35 @@ def leading(n: Column, p: Column, percent: int) -> Column:
 def pairs_through_prefixes(open_: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes in different components that share enough leading prefix shingles.
 
-    Left out are pairs that both were compared with the first class of the group and share too little of it:
+    Left out are pairs that both were compared with the first class of the shingle and share too little of it:
     they could link only by shingles that it has not, and ``pairs_beyond_leaders`` finds those. Components are
     paired first, under bounds that hold for all their members and are exact where a component is one class.
     """
     n, p = _size_of("place"), _at("place")
     bounds = {
         "c": F.max("common"), "k": F.count("common") == F.count("*"), "n": F.min(n), "m": F.max(n), "p": F.max(p), "r": F.max(n - p),
-        "l": F.min(F.when(leading(n, p, percent), n)), "o": F.max("own"),
+        "l": F.min(F.when(leading(n, p, percent), n)),
     }
-    parts = open_.groupBy("token", "slot", "root").agg(*[f.alias(c) for c, f in bounds.items()])
-    left, right = (parts.select("token", "slot", F.col("root").alias(f"r{side}"), *[F.col(c).alias(f"{c}_{side}") for c in bounds]) for side in "ab")
+    parts = open_.groupBy("token", "root").agg(*[f.alias(c) for c, f in bounds.items()])
+    left, right = (parts.select("token", F.col("root").alias(f"r{side}"), *[F.col(c).alias(f"{c}_{side}") for c in bounds]) for side in "ab")
     one = lambda c: (F.col(f"{c}_a"), F.col(f"{c}_b"))
     # components whose members are all settled with each other need not be looked into
     whole = F.col("k_a") & F.col("k_b") & (F.least(*one("c")) < needed(*one("n"), percent))
     sizes = (100 * F.col("m_a") >= percent * F.col("n_b")) & (100 * F.col("m_b") >= percent * F.col("n_a"))
     most = (100 + percent) * (F.least(*one("p")) + F.least(*one("r"))) >= percent * (F.col("n_a") + F.col("n_b"))
     ahead = F.coalesce(F.col("l_a") <= F.col("m_b"), F.lit(False)) | F.coalesce(F.col("l_b") < F.col("m_a"), F.lit(False))
-    between = left.join(right, ["token", "slot"]).where((F.col("ra") < F.col("rb")) & ~whole & sizes & most & ahead & (F.col("o_a") | F.col("o_b")))
-    between = between.select("token", "slot", "ra", "rb", F.col("c_b").alias("cb"), F.col("k_b").alias("kb"), F.col("n_b").alias("nb"))
-    a = open_.select("token", "slot", F.col("root").alias("ra"), F.col("class").alias("a"), F.col("place").alias("pa"), F.col("common").alias("x"), F.col("own").alias("oa"))
-    b = open_.select("token", "slot", F.col("root").alias("rb"), F.col("class").alias("b"), F.col("place").alias("pb"), F.col("common").alias("y"), F.col("own").alias("ob"))
+    between = left.join(right, "token").where((F.col("ra") < F.col("rb")) & ~whole & sizes & most & ahead)
+    between = between.select("token", "ra", "rb", F.col("c_b").alias("cb"), F.col("k_b").alias("kb"), F.col("n_b").alias("nb"))
+    a = open_.select("token", F.col("root").alias("ra"), F.col("class").alias("a"), F.col("place").alias("pa"), F.col("common").alias("x"))
+    b = open_.select("token", F.col("root").alias("rb"), F.col("class").alias("b"), F.col("place").alias("pb"), F.col("common").alias("y"))
     # nor the members that are settled with the whole of the other component, nor pairs that are
     alone = F.coalesce(F.col("kb") & F.col("x").isNotNull() & (F.least("x", "cb") < needed(_size_of("pa"), F.col("nb"), percent)), F.lit(False))
     settled = F.coalesce(F.col("x").isNotNull() & F.col("y").isNotNull() & (F.least("x", "y") < needed(_size_of("pa"), _size_of("pb"), percent)), F.lit(False))
     places = _size_of("pa"), _at("pa"), _size_of("pb"), _at("pb")
-    fits = possible(*places, percent) & leads(*places, percent) & (F.col("oa") | F.col("ob")) & ~settled
-    pairs = between.join(a, ["token", "slot", "ra"]).where(~alone).join(b, ["token", "slot", "rb"]).where(fits)
-    # a token is in each prefix once, and a pair has one slot, so its rows are the leading shingles it shares
-    counted = pairs.select("a", "b", _size_of("pa").alias("nx"), _size_of("pb").alias("ny"), "token").distinct().groupBy("a", "b", "nx", "ny").agg(F.count("*").alias("met"))
+    fits = possible(*places, percent) & leads(*places, percent) & ~settled
+    pairs = between.join(a, ["token", "ra"]).where(~alone).join(b, ["token", "rb"]).where(fits)
+    # a token is in each prefix once, so the rows of a pair are the leading shingles it shares
+    counted = pairs.select("a", "b", _size_of("pa").alias("nx"), _size_of("pb").alias("ny")).groupBy("a", "b", "nx", "ny").agg(F.count("*").alias("met"))
     return counted.where(enough(F.col("nx"), F.col("ny"), F.col("met"), percent)).select("a", "b")
 
 
@@ -272,90 +266,33 @@ def pairs_beyond_leaders(tried: DataFrame, roots: DataFrame, percent: int) -> Da
     return met.select(F.col("class_x").alias("a"), F.col("class_y").alias("b")).distinct()
 
 
-def in_slots(wide: DataFrame, percent: int) -> DataFrame:
-    """The rows of groups of many classes, dealt by size: each into its own slot and the one below.
-
-    Sets that may link differ by one slot at most, so every pair meets in the smaller one's slot. A slot's leader is
-    of the slot itself: all of the pair may be compared with it, whatever sizes the group has.
-    """
-    slot = F.floor(F.log(_size_of("place").cast("double")) / math.log(1.01 * 100 / percent)).cast("int")
-    dealt = wide.select("token", "class", "place", slot.alias("own_slot")).select("token", "class", "place", "own_slot", F.explode(F.array("own_slot", F.col("own_slot") - 1)).alias("slot"))
-    return dealt.select("token", "slot", "class", "place", (F.col("slot") == F.col("own_slot")).alias("own"))
-
-
-def merged_further(wide: DataFrame, first: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, rounds: int = 4) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Links, components and first comparisons after some more leaders of groups (token, slot) that hold several components.
-
-    The first leader is compared with all of its group. In a family whose members link by chance, every further one
-    joins a share of those that the leaders before left apart, so what has to be paired at last shrinks with each
-    round, at a cost in proportion to the groups. Only what is verified is linked; nothing is settled by not being
-    found here.
-    """
-    tried = None
-    for k in range(rounds):
-        placed = wide.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        parts = placed.groupBy("token", "slot", "root").agg(F.min(F.struct((~F.col("own")).alias("upper"), F.xxhash64("class", F.lit(k)), "class", "place")).alias("best"))
-        several = parts.groupBy("token", "slot").agg(F.count("*").alias("roots"), F.min("best").alias("best"), F.min_by("root", "best").alias("lead_root"))
-        several = several.where(~F.col("best.upper") & (F.col("roots") > (WIDE // 2 if k else 1))).select("token", "slot", "lead_root", F.col("best.class").alias("leader"), F.col("best.place").alias("lead_place"))
-        star = placed.join(several, ["token", "slot"]).where(F.col("class") != F.col("leader"))
-        if k:
-            star = star.where((F.col("root") != F.col("lead_root")) & similar_sizes(_size_of("place"), _size_of("lead_place"), percent))
-        counted = star.groupBy(F.col("leader").alias("a"), F.col("class").alias("b"), _size_of("place").alias("nx"), _size_of("lead_place").alias("ny")).agg(F.count_distinct("token").alias("met"))
-        near = materialise(counted.where(enough(F.col("nx"), F.col("ny"), F.col("met"), percent)).select("a", "b"), "near")
-        if near.isEmpty():
-            break
-        seen = materialise(compared(near, classes, docs, size, percent), "tried")
-        tried = tried or seen
-        found = seen.where("linked").select("a", "b")
-        if found.isEmpty():
-            break
-        first = first.unionByName(found)
-        roots = components(first)
-    return first, roots, tried
-
-
 def links(seen: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between classes that give the same components as all links would."""
     classes = seen.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     tokens = seen.where("n > 0").select("doc_id", "class", "n", F.posexplode("prefix").alias("at", "token")).select("token", "class", "doc_id", (F.col("n") * (1 << 31) + F.col("at")).alias("place"))
     doc = F.coalesce("doc_id", F.lit(_FIRST))
     groups = tokens.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min_by("class", doc).alias("lead"), F.min_by("place", doc).alias("lead_place"))
+    size_of = lambda c: F.shiftright(c, 31)
     met = materialise(tokens.join(groups.where("low < high"), "token").select("token", "class", "place", "lead", "lead_place"), "met")
 
     # all that could be near a leader are compared with it, hopeless ones too: what they lack is used later
-    star = met.where((F.col("class") != F.col("lead")) & similar_sizes(_size_of("place"), _size_of("lead_place"), percent))
-    counted = star.select("lead", "class", _size_of("place").alias("nx"), _size_of("lead_place").alias("ny"), "token").distinct().groupBy("lead", "class", "nx", "ny").agg(F.count("*").alias("met"))
+    star = met.where((F.col("class") != F.col("lead")) & similar_sizes(size_of("place"), size_of("lead_place"), percent))
+    counted = star.select("lead", "class", size_of("place").alias("nx"), size_of("lead_place").alias("ny"), "token").distinct().groupBy("lead", "class", "nx", "ny").agg(F.count("*").alias("met"))
     near = counted.where(enough(F.col("nx"), F.col("ny"), F.col("met"), percent)).select(F.col("lead").alias("a"), F.col("class").alias("b"))
     tried = materialise(compared(near, classes, docs, size, percent), "tried")
     first = tried.where("linked").select("a", "b")
 
     roots = components(first)
     placed = met.select("token", "class", "place", "lead").distinct().join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).where("low < high").select("token", (F.col("many") > WIDE).alias("wide"))
-    open_ = materialise(placed.join(mixed, "token"), "open")
-    wide = materialise(in_slots(open_.where("wide"), percent), "wide")
-    first, roots, more_tried = merged_further(wide, first, roots, classes, docs, size, percent)
-
-    def with_common(rows: DataFrame, tried: DataFrame) -> DataFrame:
-        """What each class has in common with the leader of its group, as far as they were compared."""
-        overlap = tried.where("common IS NOT NULL").select(F.col("a").alias("lead"), F.col("b").alias("class"), "common")
-        own = F.when(F.col("class") == F.col("lead"), _size_of("place"))
-        return rows.join(overlap, ["lead", "class"], "left").withColumn("common", F.coalesce("common", own))
-
-    narrow = with_common(open_.where("NOT wide").select("token", F.lit(0).alias("slot"), "class", "place", F.lit(True).alias("own"), "lead"), tried)
-    if more_tried is not None:
-        best = F.struct(~F.col("own"), F.xxhash64("class", F.lit(0)))
-        leads_ = wide.groupBy("token", "slot").agg(F.min_by("class", best).alias("lead"))
-        narrow = narrow.unionByName(with_common(wide.join(leads_, ["token", "slot"]), more_tried).select(*narrow.columns))
-        tried = tried.unionByName(more_tried)
-    placed = narrow.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    last = materialise(placed, "last")
-    mixed = last.groupBy("token", "slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token", "slot")
-    more = pairs_through_prefixes(last.join(mixed, ["token", "slot"]), percent).unionByName(pairs_beyond_leaders(tried, roots, percent))
+    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    overlap = tried.where("common IS NOT NULL").select(F.col("a").alias("lead"), F.col("b").alias("class"), "common")
+    own = F.when(F.col("class") == F.col("lead"), size_of("place"))
+    open_ = materialise(placed.join(mixed, "token").join(overlap, ["lead", "class"], "left").withColumn("common", F.coalesce("common", own)), "open")
+    more = pairs_through_prefixes(open_, percent).unionByName(pairs_beyond_leaders(tried, roots, percent))
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = materialise(compared(materialise(more, "more"), classes, docs, size, percent).where("linked").select("a", "b"), "links")
     first = materialise(first, "links")
-    for used in (met, open_, wide, last):
+    for used in (met, open_, tried):
         forget(used)
     return first.unionByName(second)
 
