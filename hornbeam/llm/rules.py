@@ -39,11 +39,16 @@ def repeated_words(w: Column, hashes: Column, size: int = 5) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(covered)
 
 
+def host_key(host: str) -> Column:
+    """The host under a mark; a null host is a host of its own, apart from the empty one."""
+    return F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit(""))
+
+
 def base_figures(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, host and the base figures of every row of (doc_id, text, host)."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
-    host = F.coalesce("host", F.lit("")).alias("host")
+    host = host_key("host").alias("host")
     with_words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), host, text.alias("text"), words(text).alias("w"), lines.alias("lines"))
     n = F.size("w")
     at = F.when(n >= 5, F.sequence(F.lit(0), n - 5)).otherwise(F.array().cast("array<int>"))
@@ -61,7 +66,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, host, nth, line (hash of the normalised line), n (its words): one row per line."""
     line = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("nth", "raw")
     plain = F.lower(F.trim(F.regexp_replace("raw", _BLANK_RUN, " ")))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("host", F.lit("")).alias("host"), line)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), host_key("host").alias("host"), line)
     out = rows.select("doc_id", "text_hash", "host", "nth", plain.alias("plain"))
     n = F.when(F.col("plain") == "", 0).otherwise(F.length("plain") - F.length(F.translate("plain", " ", "")) + 1)
     return out.select("doc_id", "text_hash", "host", "nth", F.xxhash64("plain").alias("line"), n.alias("n"))
@@ -81,7 +86,8 @@ def quality_rules(docs: DataFrame, host: str = "source", share: float = 0.02, le
     A document is depleted when its common lines leave fewer than ``min_words`` words or less than
     ``min_left`` of them. Copies of one text count once, so copies alone make no line common.
     A null or empty text has no words and fails the base rule; a null host is a host of its own;
-    a repeated row appears again with the same figures; an empty table gives no rows.
+    a repeated row appears again with the same figures; an empty table gives no rows. Texts are taken whole,
+    however long; a line at a limit is not yet common. Other columns are not read.
     """
     slim = identified(docs, "doc_id", "text", host).withColumnRenamed(host, "host")
     lines = line_table(slim)

@@ -32,7 +32,7 @@ SELECT d.doc_id, coalesce(k.n, 0)::BIGINT AS n_shingles, c AS component_id FROM
 """
 
 OP7 = rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host, {_WORDS} AS ws FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce('=' || source, '') AS host, {_WORDS} AS ws FROM documents),
 w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM d),
 win AS (SELECT r, i, n, list(w) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS x FROM w),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS c FROM win WHERE i + 4 <= n) WHERE c > 1),

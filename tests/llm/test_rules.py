@@ -44,6 +44,8 @@ def test_common_lines_deplete(docs):
     got = {r.doc_id: r for r in quality_rules(docs(rows)).collect()}
     assert got[1].kept and got[1].n_common_words == 13 and not got[2].kept and not got[2].base_failed
     assert got[1000].kept and got[1000].n_common_words == 0  # ten documents of that host are within its limit
+    apart = [(k, f"{common} {'' if k < 12 else ' '}\nown{k} words", "en", None if k < 12 else "", 1) for k in range(24)]
+    assert {r.n_common_words for r in quality_rules(docs(apart)).collect()} == {0}  # twelve of each host, null and empty
     copies = docs([(k, "one and the same text of more than ten words stands here again and again", "en", "h", 1) for k in range(100)])
     assert all(r.kept for r in quality_rules(copies).collect())
 
