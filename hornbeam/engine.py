@@ -350,8 +350,9 @@ class Engine:
             return Delta()
         self.run()
         given = {(r.head.signature, self._row(r.head)) for r in self.rules if r.is_fact}
-        gone = {f for f in remove if f in given or self._in_base(*f)}
-        new = [f for f in dict.fromkeys(add) if f not in gone and f not in given and not self._in_base(*f)]
+        held = self._held({*add, *remove} - given)
+        gone = {f for f in remove if f in given or f in held}
+        new = [f for f in dict.fromkeys(add) if f not in gone and f not in given and f not in held]
         gone -= set(add)
         if not gone and not new:
             return Delta()
@@ -396,6 +397,20 @@ class Engine:
             df = df.where(compare("=", Value(F.col(f"c{i}"), kind), constant(v)))
         return not df.isEmpty()
 
+    def _held(self, facts: set[tuple[Signature, tuple]]) -> set[tuple[Signature, tuple]]:
+        """Those facts that are rows of registered tables, by one scan of each table that any could be in."""
+        out: set[tuple[Signature, tuple]] = set()
+        for signature in {s for s, _ in facts} & {*self._base}:
+            kinds = self._base_kinds[signature]
+            rows = [row for s, row in facts if s == signature]
+            like = [row for row in rows if kinds and all(join(k, type_of(v)) == k for k, v in zip(kinds, row))]
+            if like:
+                wanted = Database(self.spark, {signature: kinds}).rows(signature, like)
+                there = tuples_of(minus(self._base[signature], F.broadcast(wanted), "left_semi").distinct(), kinds)
+                out |= {(signature, row) for row in like if row in there}
+            out |= {(signature, row) for row in rows if row not in like and self._in_base(signature, row)}
+        return out
+
     def _base_without(self, gone: set[tuple[Signature, tuple]]) -> dict[Signature, DataFrame]:
         out = dict(self._base)
         for signature in {s for s, _ in gone} & {*out}:

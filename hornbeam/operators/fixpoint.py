@@ -93,6 +93,9 @@ class Database:
     def rows(self, signature: Signature, tuples: Iterable[tuple]) -> DataFrame:
         """Ground tuples as one local relation."""
         kinds = [t or "str" for t in self.types.get(signature, [None] * signature[1])]
+        tuples = list(tuples)
+        if any(isinstance(v, int) and not -(1 << 63) <= v < 1 << 63 for row in tuples for v in row):
+            raise EvaluationError("an integer does not fit in 64 bits")
         data = [tuple(cell(v, t) for v, t in zip(row, kinds)) if kinds else (0,) for row in tuples]
         return self.spark.createDataFrame(data, schema_of(signature, self.types))
 

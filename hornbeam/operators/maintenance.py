@@ -12,8 +12,9 @@ from collections import defaultdict
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.values import plain
+from ..functions.values import Value, join, plain
 from ..plans.terms import Aggregate, Atom, BodyLiteral, Const, Literal, Rule, Signature, order_key, reads
 from ..sources.scratch import Stored
 from .fixpoint import Database, Rounds, minus
@@ -222,15 +223,26 @@ class Maintainer:
 
 
 def difference(before: Database, after: Database, stats: dict) -> Delta:
-    """What changed between two whole evaluations."""
-    sides: list[dict[Signature, set[tuple]]] = []
-    for one, other in ((after, before), (before, after)):
-        side = {}
-        for s, t in one.tables.items():
-            kinds = one.compiler().kinds(s)
-            has = {()} if not s[1] and t.count else tuples_of(t.df, kinds) if s[1] else set()
-            there = other.tables.get(s)
-            had = set() if there is None else ({()} if not s[1] and there.count else tuples_of(there.df, other.compiler().kinds(s)) if s[1] else set())
-            side[s] = has - had
-        sides.append(side)
-    return Delta(sides[0], sides[1], stats)
+    """What changed between two whole evaluations: two plans per predicate, none for a registered table that is the same."""
+    old_kinds, new_kinds = before.compiler().kinds, after.compiler().kinds
+    kinds: dict[Signature, list[str]] = {}
+    added: dict[Signature, Stored] = {}
+    removed: dict[Signature, Stored] = {}
+
+    def table(db: Database, own: list[str], s: Signature) -> DataFrame:
+        df = db.df(s)
+        if own == kinds[s]:
+            return df
+        return df.select(*[Value(F.col(f"c{k}"), a).to(b).alias(f"c{k}") for k, (a, b) in enumerate(zip(own, kinds[s]))])
+
+    for s in sorted({*before.tables, *after.tables}):
+        old, new = before.tables.get(s), after.tables.get(s)
+        if old is not None and new is not None and old.df is new.df:
+            continue
+        kinds[s] = new_kinds(s) if old is None else old_kinds(s) if new is None else [join(a, b) for a, b in zip(old_kinds(s), new_kinds(s))]
+        was = None if old is None else table(before, old_kinds(s), s)
+        now = None if new is None else table(after, new_kinds(s), s)
+        for side, here, there in ((added, now, was), (removed, was, now)):
+            if here is not None and (found := after.store([here if there is None else minus(here, there)])).count:
+                side[s] = found
+    return Delta.of(added, removed, kinds.__getitem__, stats)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from hornbeam import DeductiveError, Engine, StratificationError
+from hornbeam import DeductiveError, Engine, EvaluationError, StratificationError
 
 PATH = "path(X, Y) :- edge(X, Y). path(X, Y) :- edge(X, Z), path(Z, Y). "
 
@@ -117,3 +117,27 @@ def test_a_stream_feeds_updates(spark, tmp_path):
     feed(e, stream, "edge", op="op", on_change=seen.append).awaitTermination()
     assert "\n".join(map(str, seen)) == "- edge(a, b)\n+ edge(b, c)\n- path(a, b)\n+ path(b, c)"
     assert e.query("path(X, Y)").rows == [("b", "c")]
+
+
+def test_facts_are_looked_up_by_one_scan(spark, tmp_path):
+    """However many facts are added, a registered table is read a fixed number of times; a new predicate reads none of it."""
+    spark.range(2000).selectExpr("id", "id + 1 AS next").write.parquet(str(tmp_path / "step"))
+    e = Engine(spark=spark)
+    e.register("step", spark.read.parquet(str(tmp_path / "step")))
+    e.load("pair(X, Z) :- mark(X), step(X, Y), step(Y, Z). mark(1).")
+    e.run()
+    seen = []
+    held = e._in_base
+    e._in_base = lambda *f: seen.append(f) or held(*f)
+    delta = e.update(add=[f"step({k}, {k + 1})" for k in range(10, 60)] + ["step(3, 90)", "mark(3)"], remove=["step(1, 2)", "step(5, 99)"])
+    assert not seen and {str(a) for a in delta.added_facts()} == {"step(3, 90)", "mark(3)", "pair(3, 5)", "pair(3, 91)"}
+    assert {str(a) for a in delta.removed_facts()} == {"step(1, 2)", "pair(1, 3)"}
+    other = e.update(add=["colour(red)"])
+    assert other.stats["mode"] == "recompute" and str(other) == "+ colour(red)"
+
+
+def test_integers_beyond_64_bits_are_refused(spark):
+    e = Engine(spark=spark)
+    e.load("big(99999999999999999999).")
+    with pytest.raises(EvaluationError, match="64 bits"):
+        e.query("big(X)").rows
