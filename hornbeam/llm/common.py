@@ -127,9 +127,10 @@ def rows_of(batches: Iterable[pa.RecordBatch], most: int = 512) -> Iterable[pa.R
     for batch in batches:
         for at in range(0, batch.num_rows, most):
             yield batch.slice(at, most)
+    give_back()
 
 
-def together(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterable[pa.Table]:
+def together(batches: Iterable[pa.RecordBatch], most: int = 2 << 20) -> Iterable[pa.Table]:
     """The same rows in tables of at least ``most`` bytes (but the last), for work that is cheaper on many."""
     waiting, size = [], 0
     for batch in batches:
@@ -140,6 +141,7 @@ def together(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterable
             waiting, size = [], 0
     if waiting:
         yield pa.Table.from_batches(waiting)
+    give_back()
 
 
 _SLOTS, _SALTS = 1 << 16, 32

@@ -89,7 +89,7 @@ class WordIds:
 
     odd = re.compile("[\u0130\u0180-\U0010ffff]")
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -160,7 +160,7 @@ class WordIds:
         raw, edges = ids.tobytes(), (4 * np.append(0, ends))[lists.offsets.to_numpy()].tolist()
         return [raw[a:b] for a, b in zip(edges, edges[1:])]
 
-    def encode(self, texts: list[str | None], together: int = 1 << 22) -> list[bytes]:
+    def encode(self, texts: list[str | None], together: int = 1 << 21) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, about ``together`` characters at a time."""
         out: list[list[bytes]] = [[] for _ in texts]
         waiting: dict[bool, list[tuple[int, str]]] = {True: [], False: []}
