@@ -3,6 +3,9 @@
 Base figures are computed per document. The method then hashes the normalised
 lines, counts in how many distinct texts of a host each stands, takes lines above
 the host's limit as boilerplate, and rejects documents that those lines deplete.
+
+Texts are read once: what is needed of them, the figures and the line hashes, is
+written as a slim table, and all that follows works on that.
 """
 
 from __future__ import annotations
@@ -10,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified
+from .common import identified, materialise
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 _BLANK_RUN = r"[\x20\x09-\x0D]+"
+_BLANKS_IN_LINE = r"[\x20\x09\x0B-\x0D]+"
 
 
 def words(text: Column) -> Column:
@@ -44,43 +48,53 @@ def host_key(host: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit(""))
 
 
+def line_marks(text: Column) -> Column:
+    """The hash and the number of words of every normalised line that has words, in order."""
+    plain = F.split(F.trim(F.lower(F.regexp_replace(text, _BLANKS_IN_LINE, " "))), " ?\n ?")
+    n = lambda x: F.length(x) - F.length(F.translate(x, " ", "")) + 1
+    return F.transform(F.filter(plain, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("line"), n(x).alias("n")))
+
+
 def base_figures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, host and the base figures of every row of (doc_id, text, host)."""
+    """doc_id, text_hash, host, marks and the base figures of every row of (doc_id, text, host); a null text is an empty one."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
     host = host_key("host").alias("host")
-    with_words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), host, text.alias("text"), words(text).alias("w"), lines.alias("lines"))
+    with_words = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), host, text.alias("text"), words(text).alias("w"), lines.alias("lines"), line_marks(text).alias("marks"))
     n = F.size("w")
     at = F.when(n >= 5, F.sequence(F.lit(0), n - 5)).otherwise(F.array().cast("array<int>"))
     hashes = F.transform(at, lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(5)]))
+    own = ["doc_id", "text_hash", "host", "marks"]
     figures = with_words.select(
-        "doc_id", "text_hash", "host", "w", hashes.alias("hashes"), n.cast("long").alias("n_words"),
+        *own, "w", hashes.alias("hashes"), n.cast("long").alias("n_words"),
         F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
-    return figures.select("doc_id", "text_hash", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("w"), F.col("hashes")).cast("long").alias("n_repeat_words"))
+    return figures.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("w"), F.col("hashes")).cast("long").alias("n_repeat_words"))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, host, nth, line (hash of the normalised line), n (its words): one row per line."""
-    line = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("nth", "raw")
-    plain = F.lower(F.trim(F.regexp_replace("raw", _BLANK_RUN, " ")))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), host_key("host").alias("host"), line)
-    out = rows.select("doc_id", "text_hash", "host", "nth", plain.alias("plain"))
-    n = F.when(F.col("plain") == "", 0).otherwise(F.length("plain") - F.length(F.translate("plain", " ", "")) + 1)
-    return out.select("doc_id", "text_hash", "host", "nth", F.xxhash64("plain").alias("line"), n.alias("n"))
+def common_lines(rows: DataFrame, share: float, least: int) -> DataFrame:
+    """(host, line) of lines in more than ``least`` texts and more than ``share`` of the host's texts.
+
+    ``rows`` has row (its number), host, text_hash, marks.
+    """
+    each = rows.groupBy("host", "text_hash").agg(F.min("row").alias("row"))
+    texts = each.groupBy("host").agg(F.count("*").alias("texts"))
+    counted = rows.join(each.select("row"), "row", "left_semi")
+    lines = counted.select("host", F.explode(F.array_distinct(F.transform("marks", lambda x: x["line"]))).alias("line"))
+    spread = lines.groupBy("host", "line").agg(F.count("*").alias("in_texts")).where(F.col("in_texts") > least)
+    return spread.join(texts, "host").where(F.col("in_texts") > share * F.col("texts")).select("host", "line")
 
 
-def common_lines(lines: DataFrame, share: float, least: int) -> DataFrame:
-    """(host, line) of lines in more than ``least`` texts and more than ``share`` of the host's texts."""
-    once = lines.groupBy("host", "line", "text_hash").agg(F.max("n").alias("n"))
-    texts = lines.where("nth = 0").groupBy("host", "text_hash").count().groupBy("host").agg(F.count("*").alias("texts"))
-    spread = once.where("n > 0").groupBy("host", "line").agg(F.count("*").alias("in_texts"))
-    return spread.where(F.col("in_texts") > least).join(texts, "host").where(F.col("in_texts") > share * F.col("texts")).select("host", "line", F.lit(True).alias("common"))
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """The rows with a number each, written so that the numbers stay what they are."""
+    return materialise(rows.withColumn("row", F.monotonically_increasing_id()), name)
 
 
-def quality_rules(docs: DataFrame, host: str = "source", share: float = 0.02, least: int = 20, min_words: int = 10, min_left: float = 0.2) -> DataFrame:
+def quality_rules(
+    docs: DataFrame, host: str = "source", share: float = 0.02, least: int = 20, min_words: int = 10, min_left: float = 0.2
+) -> DataFrame:
     """One row per row of ``docs``: base figures, words in common lines, base_failed, kept.
 
     A document is depleted when its common lines leave fewer than ``min_words`` words or less than
@@ -89,17 +103,14 @@ def quality_rules(docs: DataFrame, host: str = "source", share: float = 0.02, le
     a repeated row appears again with the same figures; an empty table gives no rows. Texts are taken whole,
     however long; a line at a limit is not yet common. Other columns are not read.
     """
-    slim = identified(docs, "doc_id", "text", host).withColumnRenamed(host, "host")
-    lines = line_table(slim)
-    marked = lines.join(common_lines(lines, share, least), ["host", "line"], "left")
-    removed = F.sum(F.when(F.col("common"), F.col("n")).otherwise(0)) / F.sum((F.col("nth") == 0).cast("long"))
-    per_doc = marked.groupBy("doc_id", "text_hash", "host").agg(removed.cast("long").alias("n_common_words"))
-    base = base_figures(slim)
+    rows = _numbered(base_figures(identified(docs, "doc_id", "text", host).withColumnRenamed(host, "host")), "figures")
+    lines = rows.select("row", "host", F.explode("marks").alias("mark")).select("row", "host", "mark.line", "mark.n")
+    common = lines.join(common_lines(rows, share, least), ["host", "line"])
+    per_row = common.groupBy("row").agg(F.sum("n").cast("long").alias("in_common"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    b, p = base.alias("b"), per_doc.alias("p")
-    same = F.col("b.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("b.text_hash") == F.col("p.text_hash")) & (F.col("b.host") == F.col("p.host"))
-    left = F.col("n_words") - F.col("n_common_words")
-    return b.join(p, same).select(
-        "b.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_common_words",
+    removed = F.coalesce("in_common", F.lit(0)).cast("long")
+    left = F.col("n_words") - removed
+    return rows.join(per_row, "row", "left").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", removed.alias("n_common_words"),
         failed.alias("base_failed"), (~failed & (left >= min_words) & (left >= min_left * F.col("n_words"))).alias("kept"),
     )

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+from hornbeam.llm import rules
 from hornbeam.llm.rules import quality_rules
 
 
@@ -50,6 +51,43 @@ def test_common_lines_deplete(docs):
     assert all(r.kept for r in quality_rules(copies).collect())
 
 
-def test_only_native_operators(sample):
-    plan = quality_rules(sample)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def normal(line):
+    return " ".join(w.decode() for w in line.encode().split()).lower()
+
+
+def plain_common(rows, share=0.02, least=20):
+    """Brute force over (doc_id, text, host): the lines above the limits of each host."""
+    texts, spread = {}, {}
+    for _, text, host in rows:
+        texts.setdefault(host, set()).add(text or "")
+        for line in {normal(x) for x in (text or "").split("\n")} - {""}:
+            spread.setdefault((host, line), set()).add(text)
+    return {k for k, v in spread.items() if len(v) > least and len(v) > share * len(texts[k[0]])}
+
+
+def test_common_lines_against_brute_force(docs):
+    rng = random.Random(5)
+    pool = ["Home  page", " home page ", "A b\tc", "\ta B c\r", "x\x0by", "", " ", "çé Ü", "one more line", "and \x0c this"]
+    rows = []
+    for d in range(160):
+        own = [f"own {d} {k} word" for k in range(rng.randint(0, 6))]
+        lines = own + [rng.choice(pool) for _ in range(rng.randint(0, 5))]
+        rng.shuffle(lines)
+        rows.append((d, None if d % 40 == 0 else "\n".join(lines), rng.choice(["h", "h", "g", "", None])))
+    rows += [(200 + k, "the same copy\nof this text", "g") for k in range(60)] + [rows[3]] * 3
+    table = docs([(d, t, "en", h, 1) for d, t, h in rows])
+    for how in ({"least": 9, "share": 0.02}, {"least": 3, "share": 0.2}):
+        hot = plain_common(rows, **how)
+        assert hot
+        want = sorted(((d, sum(len(normal(x).split()) for x in (t or "").split("\n") if (h, normal(x)) in hot)) for d, t, h in rows), key=repr)
+        assert sorted(((r.doc_id, r.n_common_words) for r in quality_rules(table, **how).collect()), key=repr) == want
+
+
+def test_only_native_operators(sample, monkeypatch):
+    plans = []
+    write = rules.materialise
+    monkeypatch.setattr(rules, "materialise", lambda df, name: plans.append(df) or write(df, name))
+    plans += [quality_rules(sample)]
+    assert len(plans) == 2
+    for df in plans:
+        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
