@@ -2,7 +2,7 @@
 
 Base figures are computed per document. The method then hashes the normalised
 lines, counts in how many distinct texts of a host each stands, takes lines above
-the host's limit as boilerplate, and rejects documents that those lines deplete.
+the host's limit as boilerplate, removes them, and rejects documents that they deplete.
 
 Texts are read once: what is needed of them, the figures and the line hashes, is
 written as a slim table, and all that follows works on that.
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified, materialise
+from .common import fresh, identified, materialise
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -55,6 +55,11 @@ def line_marks(text: Column) -> Column:
     return F.transform(F.filter(plain, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("line"), n(x).alias("n")))
 
 
+def line_hash(line: Column) -> Column:
+    """The hash of one raw line, as in ``line_marks``."""
+    return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, _BLANK_RUN, " "))))
+
+
 def base_figures(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, host, marks and the base figures of every row of (doc_id, text, host); a null text is an empty one."""
     text = F.coalesce("text", F.lit(""))
@@ -74,14 +79,14 @@ def base_figures(docs: DataFrame) -> DataFrame:
     return figures.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated_words(F.col("w"), F.col("hashes")).cast("long").alias("n_repeat_words"))
 
 
-def common_lines(rows: DataFrame, share: float, least: int) -> DataFrame:
+def common_lines(rows: DataFrame, share: float, least: int, copies: bool = False) -> DataFrame:
     """(host, line) of lines in more than ``least`` texts and more than ``share`` of the host's texts.
 
-    ``rows`` has row (its number), host, text_hash, marks.
+    ``rows`` has row (its number), host, text_hash, marks. With ``copies``, documents are counted in place of different texts.
     """
-    each = rows.groupBy("host", "text_hash").agg(F.min("row").alias("row"))
+    each = rows.select("row", "host", "text_hash") if copies else rows.groupBy("host", "text_hash").agg(F.min("row").alias("row"))
     texts = each.groupBy("host").agg(F.count("*").alias("texts"))
-    counted = rows.join(each.select("row"), "row", "left_semi")
+    counted = rows if copies else rows.join(each.select("row"), "row", "left_semi")
     lines = counted.select("host", F.explode(F.array_distinct(F.transform("marks", lambda x: x["line"]))).alias("line"))
     spread = lines.groupBy("host", "line").agg(F.count("*").alias("in_texts")).where(F.col("in_texts") > least)
     return spread.join(texts, "host").where(F.col("in_texts") > share * F.col("texts")).select("host", "line")
@@ -93,19 +98,20 @@ def _numbered(rows: DataFrame, name: str) -> DataFrame:
 
 
 def quality_rules(
-    docs: DataFrame, host: str = "source", share: float = 0.02, least: int = 20, min_words: int = 10, min_left: float = 0.2
+    docs: DataFrame, host: str = "source", share: float = 0.02, least: int = 20, min_words: int = 10, min_left: float = 0.2, copies: bool = False
 ) -> DataFrame:
     """One row per row of ``docs``: base figures, words in common lines, base_failed, kept.
 
     A document is depleted when its common lines leave fewer than ``min_words`` words or less than
-    ``min_left`` of them. Copies of one text count once, so copies alone make no line common.
+    ``min_left`` of them. Copies of one text count once, so copies alone make no line common, unless
+    ``copies`` asks that every document is counted.
     A null or empty text has no words and fails the base rule; a null host is a host of its own;
     a repeated row appears again with the same figures; an empty table gives no rows. Texts are taken whole,
     however long; a line at a limit is not yet common. Other columns are not read.
     """
     rows = _numbered(base_figures(identified(docs, "doc_id", "text", host).withColumnRenamed(host, "host")), "figures")
     lines = rows.select("row", "host", F.explode("marks").alias("mark")).select("row", "host", "mark.line", "mark.n")
-    common = lines.join(common_lines(rows, share, least), ["host", "line"])
+    common = lines.join(common_lines(rows, share, least, copies), ["host", "line"])
     per_row = common.groupBy("row").agg(F.sum("n").cast("long").alias("in_common"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     removed = F.coalesce("in_common", F.lit(0)).cast("long")
@@ -114,3 +120,23 @@ def quality_rules(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", removed.alias("n_common_words"),
         failed.alias("base_failed"), (~failed & (left >= min_words) & (left >= min_left * F.col("n_words"))).alias("kept"),
     )
+
+
+def remove_common_lines(docs: DataFrame, host: str = "source", text_col: str = "text", share: float = 0.02, least: int = 20, copies: bool = False) -> DataFrame:
+    """``docs`` with the lines above the limits of their host taken out of ``text_col``; no row goes.
+
+    A text without such lines, a null one among them, stays as it is, and blank lines stay. A null host is a host of
+    its own; repeated rows are treated alike; an empty table gives no rows; all columns come back under their names.
+    Texts are taken whole, however long.
+    """
+    text, key = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), host_key(f"`{host}`")
+    rows = _numbered(docs.select(key.alias("host"), F.xxhash64(text).alias("text_hash"), line_marks(text).alias("marks")), "marks")
+    # what goes depends on host and text alone
+    each = rows.groupBy("host", "text_hash").agg(F.min("row").alias("row"))
+    lines = rows.join(each.select("row"), "row", "left_semi").select("host", "text_hash", F.explode("marks.line").alias("line"))
+    gone = lines.join(common_lines(rows, share, least, copies), ["host", "line"]).groupBy("host", "text_hash").agg(F.collect_set("line").alias("gone"))
+    names = [fresh(docs, c) for c in ("own_host", "own_hash", "gone_lines")]
+    own = docs.withColumns({names[0]: key, names[1]: F.xxhash64(text)}).join(gone.toDF(*names), names[:2], "left")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(names[2], line_hash(x))), "\n")
+    out = F.when(F.col(names[2]).isNull(), F.col(f"`{text_col}`")).otherwise(left)
+    return own.select(*[out.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

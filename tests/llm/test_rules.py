@@ -3,7 +3,7 @@ import re
 from collections import Counter
 
 from hornbeam.llm import rules
-from hornbeam.llm.rules import quality_rules
+from hornbeam.llm.rules import quality_rules, remove_common_lines
 
 
 def base(text):
@@ -55,13 +55,13 @@ def normal(line):
     return " ".join(w.decode() for w in line.encode().split()).lower()
 
 
-def plain_common(rows, share=0.02, least=20):
+def plain_common(rows, share=0.02, least=20, copies=False):
     """Brute force over (doc_id, text, host): the lines above the limits of each host."""
     texts, spread = {}, {}
-    for _, text, host in rows:
-        texts.setdefault(host, set()).add(text or "")
+    for at, (_, text, host) in enumerate(rows):
+        texts.setdefault(host, set()).add(at if copies else text or "")
         for line in {normal(x) for x in (text or "").split("\n")} - {""}:
-            spread.setdefault((host, line), set()).add(text)
+            spread.setdefault((host, line), set()).add(at if copies else text)
     return {k for k, v in spread.items() if len(v) > least and len(v) > share * len(texts[k[0]])}
 
 
@@ -76,18 +76,27 @@ def test_common_lines_against_brute_force(docs):
         rows.append((d, None if d % 40 == 0 else "\n".join(lines), rng.choice(["h", "h", "g", "", None])))
     rows += [(200 + k, "the same copy\nof this text", "g") for k in range(60)] + [rows[3]] * 3
     table = docs([(d, t, "en", h, 1) for d, t, h in rows])
-    for how in ({"least": 9, "share": 0.02}, {"least": 3, "share": 0.2}):
+    for how in ({"least": 9, "share": 0.02}, {"least": 3, "share": 0.2}, {"least": 9, "share": 0.02, "copies": True}):
         hot = plain_common(rows, **how)
         assert hot
         want = sorted(((d, sum(len(normal(x).split()) for x in (t or "").split("\n") if (h, normal(x)) in hot)) for d, t, h in rows), key=repr)
         assert sorted(((r.doc_id, r.n_common_words) for r in quality_rules(table, **how).collect()), key=repr) == want
+        clean = [(d, None if t is None else "\n".join(x for x in t.split("\n") if (h, normal(x)) not in hot)) for d, t, h in rows]
+        assert sorted(((r.doc_id, r.text) for r in remove_common_lines(table, **how).collect()), key=repr) == sorted(clean, key=repr)
+
+
+def test_removal_keeps_columns_and_odd_rows(odd, docs):
+    clash = odd.selectExpr("*", "1 AS host", "2 AS own_host", "3 AS gone_lines", "4 AS text_hash", "5 AS row")
+    out = remove_common_lines(clash)
+    assert out.columns == clash.columns and out.count() == odd.count()
+    assert remove_common_lines(docs([])).collect() == []
 
 
 def test_only_native_operators(sample, monkeypatch):
     plans = []
     write = rules.materialise
     monkeypatch.setattr(rules, "materialise", lambda df, name: plans.append(df) or write(df, name))
-    plans += [quality_rules(sample)]
-    assert len(plans) == 2
+    plans += [quality_rules(sample), remove_common_lines(sample)]
+    assert len(plans) == 4
     for df in plans:
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
