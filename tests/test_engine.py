@@ -160,3 +160,15 @@ def test_against_the_plain_evaluator(spark, seed):
         engine.load(text)
         for signature in engine.predicates():
             assert engine.relation(*signature).tuples == expected.get(signature, set()), (signature, text)
+
+
+def test_no_limit_on_tuples_unless_given(spark):
+    engine = Engine(spark=spark)
+    engine.register("n", spark.range(5_000_001))
+    engine.load("p(X) :- n(X).")
+    assert len(engine.relation("p")) == 5_000_001
+    engine = Engine(max_tuples=5_000_000, spark=spark)
+    engine.register("n", spark.range(5_000_001))
+    engine.load("p(X) :- n(X).")
+    with pytest.raises(EvaluationError, match="limit of 5000000"):
+        engine.run()
