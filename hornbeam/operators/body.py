@@ -110,8 +110,9 @@ class Compiler:
             return Frame(frame.df.join(df, all_of(on), "left_semi"), frame.vars)
         shared = [v for n, v in found.items() if n in frame.vars]
         df = df.select(*dict.fromkeys([c for c, _ in add.values()]), *[v.col for v in shared])
-        joined = frame.df.join(df, all_of(on), "inner") if on else frame.df.crossJoin(df)
-        return Frame(joined, frame.vars | add)
+        if not on:  # all rows meet: each different one once, as nothing counts how often a row is there
+            return Frame(frame.keep(frame.vars).df.distinct().crossJoin(df.distinct()), frame.vars | add)
+        return Frame(frame.df.join(df, all_of(on), "inner"), frame.vars | add)
 
     def absent(self, atom: Atom, frame: Frame) -> Frame:
         frame = self.unit(frame)

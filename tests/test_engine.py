@@ -172,3 +172,14 @@ def test_no_limit_on_tuples_unless_given(spark):
     engine.load("p(X) :- n(X).")
     with pytest.raises(EvaluationError, match="limit of 5000000"):
         engine.run()
+
+
+def test_rows_meet_once_in_cross_joins(spark):
+    engine = Engine(spark=spark)
+    many = spark.range(2000).selectExpr("id", "id % 3 k")
+    engine.register("a", many).register("b", many)
+    engine.load("pair(N, M) :- a(_, N), b(_, M).")
+    found = engine.query("a(_, N), b(_, M)")
+    assert found.rows == engine.query("pair(N, M)").rows == [(n, m) for n in range(3) for m in range(3)]
+    plan = found.df._jdf.queryExecution().optimizedPlan().toString().split("Join Cross")[1]
+    assert plan.count("Aggregate") == 2
