@@ -2,6 +2,9 @@
 
 Every stage works on all rows that its predecessor kept and takes whole texts, however long. Extra columns of
 any name pass through the first four stages; an empty table gives an empty one.
+
+A stage's last plan is written by the caller, and Python workers get whole texts in it. So the stages leave the
+session with small Arrow batches: a full one of the default size stands several times in an executor's memory.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornbeam.llm.common import fresh, materialise, table
+from hornbeam.llm.common import fresh, materialise, small_batches, table
 from hornbeam.llm.queries import vocabulary
 from hornbeam.llm.rules import words
 
@@ -21,6 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     from hornbeam.llm.quality import classify
 
+    small_batches(spark)
     verdict = fresh(docs, "quality")
     return classify(docs, out_col=verdict).where(F.col(f"{verdict}.kept")).select(*[f"`{c}`" for c in docs.columns])
 
@@ -33,6 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     from hornbeam.llm.lines import deduplicate_lines
 
+    small_batches(spark)
     own = docs.withColumnsRenamed({c: fresh(docs, f"{c}_own") for c in ("n_lines", "n_removed") if c in docs.columns})
     out = deduplicate_lines(own)
     left = (F.col("n_removed") == 0) | (F.size(words(F.coalesce("text", F.lit("")))) > 0)
@@ -47,6 +52,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     from hornbeam.llm.jaccard import one_of_each
 
+    small_batches(spark)
     return one_of_each(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
@@ -54,6 +60,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Secrets are replaced by a mark; a null text stays null, repeated rows are treated alike, no row goes."""
     from hornbeam.llm.secrets import redact
 
+    small_batches(spark)
     return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
 
 
@@ -61,6 +68,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Token pieces in sequences of at most 4096, one row per piece; a null text is an empty one, repeated rows are packed each."""
     from hornbeam.llm.packing import pack_documents
 
+    small_batches(spark)
     return pack_documents(docs, vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 

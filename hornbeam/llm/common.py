@@ -15,13 +15,20 @@ from ..sources.scratch import discard, new_path
 
 #: ASCII blanks that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH, _SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands small Arrow batches to Python workers, also for plans that others write."""
+    now = str(spark.conf.get(_BATCH))
+    if not (now.isdigit() and 0 < int(now) <= _SMALL):
+        spark.conf.set(_BATCH, _SMALL)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table in the shared folder and read it back.
 
@@ -29,7 +36,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, 8 << 20)
+    small_batches(spark)
     try:
         df.write.parquet(path)
     finally:

@@ -1,4 +1,6 @@
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from hornbeam.llm.common import materialise
@@ -30,3 +32,21 @@ def test_little_tables(spark, docs, rows):
     for _, stage in P.STAGES:
         table = materialise(stage(spark, table, DIR), "test")
     assert table.count() <= len(rows)
+
+
+def test_last_plans_get_small_batches(spark, docs):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    @F.pandas_udf("long")
+    def size(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(texts)] * len(texts))
+
+    try:
+        for _, stage in P.STAGES:
+            spark.conf.set(name, 64 << 20)
+            stage(spark, docs([(1, "a text of one line")]), DIR)
+            rows = spark.range(64, numPartitions=1).select(F.expr("repeat('a', 1048576)").alias("text"))
+            assert rows.select(size("text").alias("n")).agg(F.max("n")).first()[0] <= 16
+    finally:
+        spark.conf.set(name, before)
