@@ -36,3 +36,28 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["x", "y"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+#: Queries over tables from which more than 5,000,000 tuples follow, which once was a default limit.
+BEYOND = ["agg_over_recursion"]
+
+
+@pytest.fixture(scope="module")
+def beyond(spark, tmp_path_factory):
+    at, most = str(tmp_path_factory.mktemp("beyond")), 2_600_000
+    keys = spark.range(200).union(spark.range(1 << 23, (1 << 23) + most))
+    keys.selectExpr("id p_partkey", "'' p_name", "'' p_brand", "'' p_type", "1 p_size", "id + 0.5D p_retailprice").write.parquet(f"{at}/part.parquet")
+    line = "id + k l_orderkey, id l_partkey, id l_suppkey, 1 l_linenumber, 1D l_quantity, 1D l_extendedprice, 0D l_discount, 0D l_tax, CASE k WHEN 0 THEN 'R' ELSE 'N' END l_returnflag, 'O' l_linestatus, timestamp '2000-01-01' l_shipdate"
+    spark.range(most).selectExpr("id", "explode(array(0, 1000)) k").selectExpr(*line.split(", ")).write.parquet(f"{at}/lineitem.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", BEYOND)
+def test_beyond_five_million_tuples(spark, beyond, name):
+    df = queries()[name](spark, beyond)
+    got = df.selectExpr("count(*)", *[f"cast(sum({c}) as double)" for c in df.columns]).first()
+    con = duckdb.connect()
+    for table in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{beyond}/{table}.parquet/*.parquet'")
+    sums = ", ".join(f"sum({c})::DOUBLE" for c in df.columns)
+    assert tuple(got) == con.execute(f"SELECT count(*), {sums} FROM ({oracle_sql()[name]})").fetchone()
