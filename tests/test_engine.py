@@ -183,3 +183,20 @@ def test_rows_meet_once_in_cross_joins(spark):
     assert found.rows == engine.query("pair(N, M)").rows == [(n, m) for n in range(3) for m in range(3)]
     plan = found.df._jdf.queryExecution().optimizedPlan().toString().split("Join Cross")[1]
     assert plan.count("Aggregate") == 2
+
+
+def test_evaluation_bounds_memory_and_gives_settings_back(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.sortMergeJoinExec.buffer.in.memory.threshold")
+    before = [spark.conf.get(n) for n in names]
+    engine, seen = Engine(spark=spark), []
+    inner = engine._evaluate
+    engine._evaluate = lambda: seen.append([int(spark.conf.get(n)) for n in names]) or inner()
+    engine.load("p(1). q(X) :- p(X).")
+    engine.run()
+    assert seen == [[1 << 20, 4 << 20, 65_536]] and [spark.conf.get(n) for n in names] == before
+    try:
+        spark.conf.set(names[0], "-1")
+        engine.run(force=True)
+        assert seen[1][0] == -1 and spark.conf.get(names[0]) == "-1"
+    finally:
+        spark.conf.set(names[0], before[0])
