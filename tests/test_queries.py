@@ -39,7 +39,7 @@ def test_entry(spark):
 
 
 #: Queries over tables from which more than 5,000,000 tuples follow, which once was a default limit.
-BEYOND = ["agg_over_recursion", "except_flags", "tc_nonlinear", "tc_hierarchy", "tc_right_linear", "explain_support", "incr_insert"]
+BEYOND = ["agg_over_recursion", "except_flags", "tc_nonlinear", "tc_hierarchy", "tc_right_linear", "explain_support", "incr_insert", "incr_retract"]
 
 
 @pytest.fixture(scope="module")
