@@ -31,6 +31,25 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "o_totalprice" not in scan.split("ReadSchema")[1]
 
 
+@pytest.mark.parametrize("name", ["tc_hierarchy", "tc_right_linear", "agg_over_recursion", "except_flags", "incr_insert", "incr_retract"])
+def test_stored_tuples_are_not_made_distinct_again(spark, name):
+    plan = QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+
+
+def test_answers_differ_where_tuples_lose_columns_or_repeat(spark):
+    from hornbeam import Engine
+
+    engine = Engine(spark=spark)
+    engine.register("t", spark.createDataFrame([(1, 2), (1, 2), (1, 3)], "a int, b int"))
+    engine.load("p(X, Y) :- t(X, Y). p(X, Y) :- t(Y, X). gone(3).")
+    for goal, want in {
+        "p(X, Y)": [(1, 2), (1, 3), (2, 1), (3, 1)], "p(X, Y), not gone(Y)": [(1, 2), (2, 1), (3, 1)], "p(X, _)": [(1,), (2,), (3,)],
+        "t(X, Y)": [(1, 2), (1, 3)], "p(1, Y), p(Y, _)": [(2,), (3,)], "p(X, Y), X < Y": [(1, 2), (1, 3)],
+    }.items():
+        assert sorted(map(tuple, engine.query(goal).df.collect())) == want, goal
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
